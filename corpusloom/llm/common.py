@@ -42,10 +42,10 @@ def scratch(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
+def saved(df: DataFrame, tag: str, partition: str = "") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and what was computed survives a lost executor."""
     path = f"{scratch(df.sparkSession)}/corpusloom/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df.write.partitionBy(partition) if partition else df.write).option("compression", "zstd").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._corpusloom_path = path  # type: ignore[attr-defined]
     return back

@@ -7,14 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .ctw import ctw_score
 from .minhash import minhash_dedup
 
 
+def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw_score(read(spark, sf_dir, "documents"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ctw": op2_ctw,
     "op6_minhash": op6_minhash,
 }
 
