@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .ctw import ctw_score
 from .minhash import minhash_dedup
+from .toxicity import toxicity
 
 
 def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +20,14 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(read(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ctw": op2_ctw,
     "op6_minhash": op6_minhash,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {}

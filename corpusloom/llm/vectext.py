@@ -77,9 +77,13 @@ class Words:
             value = _BYTE[data]
             value *= up[:n]
             total = np.cumsum(value, dtype=U)
-            h = total[self.end - 1] - total[self.start] + value[self.start]
-            h *= down[self.start]
-            self.hash = mix(h)
+            self._total, self._before, self._down = total, total[self.start] - value[self.start], down[self.start]
+            self.hash = mix((total[self.end - 1] - self._before) * self._down)
+
+    def prefix(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which words have more than k bytes, and the hashes of their first k."""
+        long = np.flatnonzero(self.end - self.start > k)
+        return long, mix((self._total[self.start[long] + k - 1] - self._before[long]) * self._down[long])
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
