@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .ctw import ctw_score
 from .minhash import minhash_dedup
+from .mixing import mix
 from .toxicity import toxicity
 
 
@@ -16,6 +17,10 @@ def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw_score(read(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(read(spark, sf_dir, "documents"))
 
@@ -26,6 +31,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ctw": op2_ctw,
+    "op4_mixing": op4_mixing,
     "op6_minhash": op6_minhash,
     "op10_toxicity": op10_toxicity,
 }
