@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from .common import read
 from .ctw import ctw_score
 from .minhash import minhash_dedup
 from .mixing import mix
+from .pieces import encode
 from .toxicity import toxicity
 
 
@@ -17,6 +19,13 @@ def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw_score(read(spark, sf_dir, "documents"))
 
 
+VOCABULARY = os.environ.get("CORPUSLOOM_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(read(spark, sf_dir, "documents"), VOCABULARY, keep_ids=False).drop("ids")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -31,6 +40,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ctw": op2_ctw,
+    "op3_pieces": op3_pieces,
     "op4_mixing": op4_mixing,
     "op6_minhash": op6_minhash,
     "op10_toxicity": op10_toxicity,
