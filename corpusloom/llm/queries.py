@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .ctw import ctw_score
+from .linededup import line_dedup
 from .minhash import minhash_dedup
 from .mixing import mix
 from .pieces import encode
 from .toxicity import toxicity
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw_score(read(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lines": op1_lines,
     "op2_ctw": op2_ctw,
     "op3_pieces": op3_pieces,
     "op4_mixing": op4_mixing,
@@ -46,4 +52,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_lines": r"""
+        WITH ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+        tk AS (SELECT doc_id, line_no, line, list_transform(string_split_regex(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+'),
+            lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens FROM ln),
+        lf AS (SELECT doc_id, line_no, tokens, concat_ws(chr(1), len(tokens), array_to_string(tokens[1:4], chr(1))) AS leaf FROM tk WHERE len(tokens) >= 3),
+        busy AS (SELECT leaf FROM lf GROUP BY leaf HAVING count(DISTINCT doc_id) >= 3),
+        hot AS (SELECT lf.* FROM lf JOIN busy USING (leaf)),
+        kinds AS (SELECT leaf, tokens, count(DISTINCT doc_id) AS n FROM hot GROUP BY leaf, tokens),
+        places AS (SELECT leaf, tokens, n, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS pos FROM kinds),
+        often AS (SELECT leaf, pos, token FROM places WHERE pos >= 4 GROUP BY ALL HAVING sum(n) >= 3),
+        kept AS (SELECT a.leaf, a.tokens, count(*) AS c, string_agg(a.pos || ':' || a.token, chr(1) ORDER BY a.pos) AS kept FROM places a JOIN often USING (leaf, pos, token) GROUP BY a.leaf, a.tokens),
+        forms AS (SELECT k.leaf, k.tokens, k.leaf || chr(2) || coalesce(kept, '') AS template FROM kinds k LEFT JOIN kept USING (leaf, tokens)
+            WHERE least(4, len(k.tokens)) + coalesce(c, 0) >= len(k.tokens) * 0.7),
+        hits AS (SELECT doc_id, line_no, template FROM hot JOIN forms USING (leaf, tokens)),
+        again AS (SELECT template, min(doc_id) AS first FROM hits GROUP BY template HAVING count(DISTINCT doc_id) >= 3),
+        gone AS (SELECT DISTINCT doc_id, line_no FROM hits JOIN again USING (template) WHERE doc_id <> first)
+        SELECT ln.doc_id, coalesce(string_agg(line, chr(10) ORDER BY ln.line_no) FILTER (WHERE gone.doc_id IS NULL), '') AS text, count(*)::INT AS n_lines, count(gone.doc_id)::INT AS n_dropped
+        FROM ln LEFT JOIN gone ON gone.doc_id = ln.doc_id AND gone.line_no = ln.line_no GROUP BY ln.doc_id""",
+}

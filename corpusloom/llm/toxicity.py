@@ -132,23 +132,32 @@ def fit(rows: list[np.ndarray], y: np.ndarray, n_features: int, n_group: int, *,
     return w, float(b)
 
 
+def _score_of(group: np.ndarray, weight: np.ndarray, bias: float):
+    def score(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        doc, feat = features(Words(data, offsets), group)
+        live = np.flatnonzero(weight[feat])
+        key = np.unique((doc[live] << 24) | feat[live])
+        z = np.bincount(key >> 24, weight[key & 0xFFFFFF].astype(np.float64), len(offsets) - 1) + bias
+        return 1 / (1 + np.exp(-z))
+
+    return score
+
+
 def _scorer(group: np.ndarray, weight: np.ndarray, bias: float):
+    score_of = _score_of(group, weight, bias)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in pieces(batches):
-            doc, feat = features(Words(data, offsets), group)
-            live = np.flatnonzero(weight[feat])
-            key = np.unique((doc[live] << 24) | feat[live])
-            z = np.bincount(key >> 24, weight[key & 0xFFFFFF].astype(np.float64), part.num_rows) + bias
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(1 / (1 + np.exp(-z)))], ["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score_of(data, offsets))], ["doc_id", "held_out", "score"])
 
     return score
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, max_features: int = 4096, least_z: float = 2.4, held_mod: int = 3, held_rest: int = 1, threshold: float = 0.7) -> DataFrame:
-    """documents (doc_id, text), labels (doc_id, toxic) -> doc_id, held_out, score, predicted, a row for each document.
+def train(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, max_features: int = 4096, least_z: float = 2.4, held_mod: int = 3, held_rest: int = 1) -> tuple[np.ndarray, np.ndarray, float]:
+    """(identity terms' hashes, weight of every feature, bias), learned from documents (doc_id, text) and labels (doc_id, toxic).
 
     Features are the identity terms and the max_features whose log odds ratio is most significant, least_z at least.
-    Rows with crc32(doc_id as text) mod `held_mod` = `held_rest` are held out of training.
+    Rows with crc32(doc_id as text) mod `held_mod` = `held_rest` are held out.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -174,5 +183,23 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, max_fe
         weight[keep] = w
     else:
         bias = 40.0 if n and pos == n else -40.0
-    scored = docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(_scorer(group, weight, bias), "doc_id long, held_out boolean, score double")
+    return group, weight, bias
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, *, held_mod: int = 3, held_rest: int = 1, threshold: float = 0.7, **options) -> DataFrame:
+    """documents (doc_id, text), labels (doc_id, toxic) -> doc_id, held_out, score, predicted, a row for each document."""
+    model = train(docs, labels, held_mod=held_mod, held_rest=held_rest, **options)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (doc_bucket(held_mod) == held_rest).alias("held_out"), F.col("text").cast("string").alias("text"))
+    scored = rows.mapInArrow(_scorer(*model), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def toxic_filter(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, **options) -> DataFrame:
+    """The documents whose score is below the threshold, with all their columns."""
+    score = _score_of(*train(docs, labels, **options))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in pieces(batches):
+            yield part.filter(pa.array(score(data, offsets) < threshold))
+
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(keep, docs.withColumn("text", F.col("text").cast("string")).schema)
