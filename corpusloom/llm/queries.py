@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .ctw import ctw_score
+from .embdedup import embedding_dedup
 from .linededup import line_dedup
 from .minhash import minhash_dedup
 from .mixing import mix
 from .pieces import encode
+from .topk import top_k
 from .toxicity import toxicity
+from .warc import read_warc, write_warc
 
 
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,10 +38,23 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = read_warc(write_warc(read(spark, sf_dir, "pages")), keep_payload=False)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(read(spark, sf_dir, "documents"))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(read(spark, sf_dir, "embeddings"))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -48,7 +64,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ctw": op2_ctw,
     "op3_pieces": op3_pieces,
     "op4_mixing": op4_mixing,
+    "op5_warc": op5_warc,
     "op6_minhash": op6_minhash,
+    "op7_embeddings": op7_embeddings,
+    "op9_topk": op9_topk,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -71,4 +90,20 @@ ORACLE: dict[str, str] = {
         gone AS (SELECT DISTINCT doc_id, line_no FROM hits JOIN again USING (template) WHERE doc_id <> first)
         SELECT ln.doc_id, coalesce(string_agg(line, chr(10) ORDER BY ln.line_no) FILTER (WHERE gone.doc_id IS NULL), '') AS text, count(*)::INT AS n_lines, count(gone.doc_id)::INT AS n_dropped
         FROM ln LEFT JOIN gone ON gone.doc_id = ln.doc_id AND gone.line_no = ln.line_no GROUP BY ln.doc_id""",
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+        f AS (SELECT html, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY html)
+        SELECT page_id, n AS payload_bytes, sha256(p.html) AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN first <> page_id THEN first END AS refers_to FROM p LEFT JOIN f ON p.html = f.html AND n >= 100""",
+    "op7_embeddings": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+        r(n, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.a, r.root FROM r JOIN l ON l.b = r.n),
+        c AS (SELECT n AS vec_id, min(root) AS component_id FROM r GROUP BY n)
+        SELECT c.vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, component_id = c.vec_id AS kept FROM c""",
+    "op9_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings),
+        s AS (SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.e, x.e)::BIGINT AS score FROM v q JOIN v x ON q.vec_id % 100 = 0 AND x.vec_id <> q.vec_id),
+        r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+        SELECT * FROM r WHERE rank <= 10""",
 }
