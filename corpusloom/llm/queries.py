@@ -6,10 +6,12 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read
 from .ctw import ctw_score
 from .embdedup import embedding_dedup
+from .htmltext import html_text
 from .linededup import line_dedup
 from .minhash import minhash_dedup
 from .mixing import mix
@@ -51,6 +53,11 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(read(spark, sf_dir, "embeddings"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text(read(spark, sf_dir, "pages"))
+    return out.select("page_id", "text", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read(spark, sf_dir, "embeddings"))
 
@@ -67,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_minhash": op6_minhash,
     "op7_embeddings": op7_embeddings,
+    "op8_html": op8_html,
     "op9_topk": op9_topk,
     "op10_toxicity": op10_toxicity,
 }
