@@ -44,9 +44,11 @@ def kind(meta_kind: Column, names: Column) -> Column:
 
 
 def decoded(content: Column) -> Column:
-    """Text of bytes: UTF-8 without its byte-order mark if it is valid, else windows-1252."""
+    """Text of bytes: UTF-8 without its byte-order mark if it is valid, else windows-1252 (its five undefined bytes as in latin-1)."""
     utf8 = F.try_validate_utf8(content.cast("string"))
-    return F.coalesce(F.regexp_replace(utf8, "^﻿", ""), F.decode(content, "windows-1252"))
+    high = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    western = F.translate(F.decode(content, "iso-8859-1"), "".join(a for a, c in high if c), "".join(c for _, c in high if c))
+    return F.coalesce(F.regexp_replace(utf8, "^﻿", ""), western)
 
 
 def chosen_file(files: DataFrame, preferred: list[str], suffix: str) -> DataFrame:
