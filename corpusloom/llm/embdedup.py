@@ -113,12 +113,12 @@ def _compare(rows: pa.Table, least: float, tables: int, probes: int) -> pa.Recor
     link = (v[x] @ v[y].T) / (norm[x][:, None] * norm[y][None, :]) >= least
     link &= cls[x][:, None] < cls[y][None, :] if bi == bj else True
     hx, hy = home[x, table] == bucket, home[y, table] == bucket
-    # in this table the pair counts at x's home if y has that bucket, else at y's home
-    at_x = (own[y, table] == bucket).any(axis=1)
-    meets_x = (home[x, table][:, None, None] == own[y, table][None, :, :]).any(axis=2) if link.any() else None
-    if meets_x is None:
+    if not link.any():
         return None
-    link &= (hx[:, None] & at_x[None, :]) | (hy[None, :] & ~meets_x)
+    # in this table a pair counts at the home of its smaller class if the other has that bucket, else at the other's home
+    in_y = (home[x, table][:, None, None] == own[y, table][None, :, :]).any(axis=2)
+    in_x = (home[y, table][None, :, None] == own[x, table][:, None, :]).any(axis=2)
+    link &= np.where(cls[x][:, None] < cls[y][None, :], hx[:, None] | (hy[None, :] & ~in_y), hy[None, :] | (hx[:, None] & ~in_x))
     for t in range(table):
         if not link.any():
             return None
