@@ -68,3 +68,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def doc_bucket(modulus: int):
     """crc32 of the decimal doc_id modulo a number; a null doc_id counts as the empty string."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def row_key():
+    """A hash of doc_id and text: rows equal in both are the same document."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))

@@ -10,7 +10,7 @@ gathered anywhere.
 
 Cases: a null text stays null and has no lines; an empty text has one empty line; lines of fewer than `min_tokens` tokens
 always stay; rows equal in doc_id and text are one document and treated alike; a null doc_id comes after all others; a
-document all of whose lines go keeps the empty text. Extra columns are carried along.
+document all of whose lines go keeps the empty text. Extra columns are carried along, but for n_lines and n_dropped.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, saved
+from .common import forget, row_key, saved
 
 _WS = " \t\n\x0b\f\r"
 
@@ -69,12 +69,12 @@ def line_decisions(docs: DataFrame, *, depth: int, similarity: float, min_docs:
 
 def line_dedup(docs: DataFrame, *, depth: int = 4, similarity: float = 0.7, min_docs: int = 3, min_tokens: int = 3) -> DataFrame:
     """documents -> the same columns with the text that is left, and n_lines and n_dropped, a row for each row."""
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    drops = line_decisions(keyed.select(F.col("_key").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), depth=depth, similarity=similarity, min_docs=min_docs, min_tokens=min_tokens)
-    ls = _lines(F.col("text").cast("string"))
-    joined = keyed.join(drops.withColumnRenamed("key", "_key").withColumnRenamed("drop", "_drop"), "_key", "left")
-    left = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_drop"))
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.array_sort(left), lambda i: F.get(ls, i)), "\n"))
-    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(ls))
-    cols = [text.alias("text") if c == "text" else keyed[c] for c in docs.columns]
-    return joined.select(*cols, n_lines.alias("n_lines"), F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size("_drop")).alias("n_dropped"))
+    keyed = docs.select(row_key().alias("key"), F.struct(*docs.columns).alias("row"))
+    drops = line_decisions(docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), depth=depth, similarity=similarity, min_docs=min_docs, min_tokens=min_tokens)
+    whole = F.col("row.text").cast("string")
+    ls = _lines(whole)
+    left = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("drop"))
+    text = F.when(F.col("drop").isNull(), whole).otherwise(F.array_join(F.transform(F.array_sort(left), lambda i: F.get(ls, i)), "\n"))
+    n_lines = F.when(whole.isNull(), F.lit(0)).otherwise(F.size(ls))
+    cols = [(text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return keyed.join(drops, "key", "left").select(*cols, n_lines.alias("n_lines"), F.when(F.col("drop").isNull(), F.lit(0)).otherwise(F.size("drop")).alias("n_dropped"))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import row_key, saved
 
 
 def word_count(text: Column) -> Column:
@@ -126,7 +126,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float =
     The sources share `share` times all words by weight, none above `most` times its own; the excess goes to the others
     by weight. key is a hash of (doc_id, text): rows with equal ones are equal rows.
     """
-    sized = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    sized = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     sized = saved(sized, "sized")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = saved(targets(sources, weights, share, most), "targets")
@@ -137,6 +137,5 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float =
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents as the mix takes them: each as many times as it has copies, with all columns."""
     got = mix(docs, **options).groupBy("key").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text")).dropDuplicates(["_key"])
-    joined = keyed.join(got.withColumnRenamed("key", "_key"), "_key")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[c] for c in docs.columns])
+    keyed = docs.select(row_key().alias("key"), F.struct(*docs.columns).alias("row")).dropDuplicates(["key"])
+    return keyed.join(got, "key").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -10,7 +10,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, ship
+from .common import read, row_key, ship
 from .linededup import line_dedup
 from .minhash import minhash_dedup
 from .mixing import mixed_documents
@@ -42,8 +42,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near-duplicates: that with the smallest doc_id; of equal rows one stays."""
     # a null doc_id is never the smallest: such rows stay where the whole group has none, as do equal ids with other texts
     drop = minhash_dedup(docs).where("not kept").select("doc_id").distinct()
-    once = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "text")).dropDuplicates(["_key"]).drop("_key")
-    return once.join(drop.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti").select(*docs.columns)
+    once = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("row")).dropDuplicates(["key"])
+    return once.join(drop, F.col("id").eqNullSafe(F.col("doc_id")), "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
