@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import fixed, html, markdown
 from .functions import text as T
-from .operators import evaluate, index, pages, search, verify
+from .operators import documents, embed, evaluate, index, pages, search, verify, web
 from .plans import agent, hybrid
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -621,3 +621,55 @@ def intent_route(spark: SparkSession, d: str) -> DataFrame:
 def dedup_packs(spark: SparkSession, d: str) -> DataFrame:
     e = _read(spark, d, "events").select("event_id", F.col("user_id").alias("request_id"), F.col("event_type").alias("chunk_id"))
     return agent.new_packs(e, e.where("event_id % 3 = 0")).select("request_id", "chunk_id")
+
+
+# ---- documents, embedding, web --------------------------------------------------------------------------------------
+
+
+@register("SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'query is empty' WHEN turn % 7 = 3 THEN 'top_k is not in 1..20' END AS error FROM conversations")
+def request_validation(spark: SparkSession, d: str) -> DataFrame:
+    r = _read(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 5 == 0, "").otherwise(F.col("text")).alias("query"), F.when(F.col("turn") % 7 == 3, 21).alias("top_k"))
+    return documents.validated(r).select("conv_id", "turn", "error")
+
+
+@register("""WITH f AS (SELECT source AS doc_id, doc_id AS n, 'd/' || lpad(doc_id::VARCHAR, 8, '0') || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.md' END AS path, regexp_replace(text, '\\n+$', '') AS body, sha256(text) AS sha FROM documents),
+    p AS (SELECT doc_id, path, '## File: ' || path || chr(10) || '**Lines:** 1-' || len(string_split(body, chr(10))) || chr(10) || '**SHA256:** ' || sha || chr(10) || chr(10) || CASE WHEN n % 2 = 1 THEN body ELSE '```python' || chr(10) || body || chr(10) || '```' END AS part FROM f)
+    SELECT doc_id, count(*) AS n_files, sha256('# T' || chr(10) || chr(10) || '**Doc ID:** ' || doc_id || chr(10) || '**Source:** u' || chr(10) || '**Repo:** o/r@c' || chr(10) || chr(10) || string_agg(part, chr(10) || chr(10) ORDER BY path)) AS sha FROM p GROUP BY doc_id""")
+def github_markdown(spark: SparkSession, d: str) -> DataFrame:
+    path = F.concat(F.lit("d/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.when(F.col("doc_id") % 2 == 0, ".py").otherwise(".md"))
+    files = _docs(spark, d).select(F.col("source").alias("doc_id"), F.lit("T").alias("title"), F.lit("u").alias("source_url"), F.lit("o/r").alias("repo"), F.lit("c").alias("commit"), path.alias("path"), "text", F.sha2("text", 256).alias("sha256"), F.lit(None).cast("string").alias("artifact_sha256"))
+    return documents.github_markdown(files).select("doc_id", "n_files", F.sha2("content_md", 256).alias("sha"))
+
+
+@register("""WITH s AS (SELECT page_id, length(regexp_replace(left(html, (page_id % 7 * 60)::INT), '\\s+', '', 'g')) AS a, length(regexp_replace(left(html, (page_id % 5 * 100)::INT), '\\s+', '', 'g')) AS b FROM pages)
+    SELECT page_id, CASE WHEN a = 0 THEN 'md' WHEN b = 0 OR a >= greatest(200, floor(b * 0.8)) THEN 'html' ELSE 'md' END AS choice FROM s""")
+def html_or_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    cut = lambda m, n: F.left("html", (F.col("page_id") % m * n).cast("int"))
+    return _read(spark, d, "pages").select("page_id", documents.richer(cut(7, 60), cut(5, 100)).alias("choice"))
+
+
+@register(f"""WITH {_SOURCES} SELECT so.request_id, sha256(string_agg('[' || citation_id || '] [' || upper(source_type) || '] Source: ' || lang || ' | Section: ' || CASE WHEN citation_id = '1' THEN '—' ELSE 's' END || chr(10) || 'URL: N/A' || chr(10) || 'chunk_id: c' || citation_id || chr(10) || chr(10) || so.source,
+    chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY citation_id)) AS sha FROM so JOIN documents ON doc_id = request_id GROUP BY 1""")
+def evidence_prompt(spark: SparkSession, d: str) -> DataFrame:
+    packs = _sources(spark, d).join(_docs(spark, d).select(F.col("doc_id").alias("request_id"), F.col("lang").alias("title")), "request_id")
+    packs = packs.select("request_id", F.col("citation_id").alias("final_rank"), "source_type", "title", F.when(F.col("citation_id") != "1", "s").alias("section"), F.lit(None).cast("string").alias("url"), F.concat(F.lit("c"), "citation_id").alias("chunk_id"), F.col("source").alias("parent_text"), F.lit("").alias("child_text"))
+    return documents.evidence_prompt(packs).select("request_id", F.sha2("prompt", 256).alias("sha"))
+
+
+@register()
+def embed_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return embed.embed_chunks(_docs(spark, d).withColumnRenamed("doc_id", "chunk_id"))
+
+
+@register(f"""WITH r AS (SELECT item_id AS request_id FROM benchmark), p AS (SELECT row_number() OVER (ORDER BY page_id) AS position, page_id, url FROM pages),
+    f AS (SELECT position, url, 'A snippet of page number ' || page_id || '.' AS snippet FROM p WHERE position <= 4 AND ({_NETLOC} LIKE '%example%')) SELECT request_id, position::INT AS position, url, snippet FROM r, f""")
+def web_search(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    first = _read(spark, d, "pages").orderBy("page_id").limit(4)  # the provider's answer has a fixed number of rows
+    rows = first.select(F.row_number().over(Window.orderBy("page_id")).alias("position"), F.concat(F.lit("<b>"), F.col("url"), F.lit("</b>")).alias("title"), "url", F.concat(F.lit("<p>A snippet of page number "), F.col("page_id").cast("string"), F.lit(".</p> Enable JavaScript.")).alias("snippet"), F.lit(1.0).alias("score"))
+    asked = _read(spark, d, "benchmark").select(F.col("item_id").alias("request_id"), F.col("text").alias("query"))
+    cache = rows.limit(0).select(F.lit("").alias("key"), F.current_timestamp().alias("cached_at"), "*")
+    hosts = [r[0] for r in rows.select(F.parse_url("url", F.lit("HOST"))).distinct().collect() if r[0] and "example" in r[0]]  # four at most
+    results, _ = web.search_web(asked, rows, cache, F.current_timestamp(), domains=tuple(hosts), most=4)
+    return results.select("request_id", "position", "url", "snippet")
