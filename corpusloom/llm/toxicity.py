@@ -104,9 +104,9 @@ def _choose(keep: np.ndarray):
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, n_features: int, n_group: int, *, ridge: float = 1e-4, swap: float = 1.0, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and bias of the penalised logistic loss (Adam, full batch). Features below n_group are identity terms.
+    """Weights and bias of the penalised logistic loss (Adam, full batch), both classes of equal weight in all.
 
-    swap weighs the mean squared change of the score when an identity term of a text becomes another or a neutral word.
+    Features below n_group are identity terms. swap weighs the mean squared change of the score when an identity term of a text becomes another or a neutral word.
     """
     n = len(rows)
     sizes = np.array([len(r) for r in rows])
@@ -115,11 +115,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray, n_features: int, n_group: int, *,
     named = idx < n_group
     term, text = idx[named], owner[named]
     other = (term + 1 + mix(text.astype(U) * U(31) + term.astype(U)).astype(np.int64) % max(1, n_group - 1)) % max(1, n_group)
-    w, b = np.zeros(n_features), float(np.log(y.mean() / (1 - y.mean())))
+    w, b = np.zeros(n_features), 0.0
+    share = np.where(y > 0, 0.5 / y.sum(), 0.5 / (n - y.sum()))
     m, v, mb, vb = np.zeros(n_features), np.zeros(n_features), 0.0, 0.0
     for k in range(1, steps + 1):
         p = 1 / (1 + np.exp(-(np.bincount(owner, w[idx], n) + b)))
-        g = (p - y) / n
+        g = (p - y) * share
         grad = np.bincount(idx, g[owner], n_features) + ridge * w
         if len(term):
             gap = w[term] - w[other]
