@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, saved, ship
+from .common import forget, row_key, saved, ship
 from .components import connected_components
 from .vectext import U, Words, mix, pieces
 
@@ -205,15 +205,15 @@ def _across(percent: int):
     return links
 
 
-def minhash_dedup(docs: DataFrame, *, words: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, seed: int = 17, block: int = 256, block_bytes: int = 8 << 20) -> DataFrame:
-    """documents (doc_id, text) -> (doc_id, n_shingles, component_id, kept), a row for each input row.
+def near_groups(docs: DataFrame, *, words: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, seed: int = 17, block: int = 256, block_bytes: int = 8 << 20) -> DataFrame:
+    """documents (doc_id, text) -> (key, doc_id, n_shingles, component_id, kept), a row for each input row; key is its row_key().
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| over their shingle sets. A pair at 0.75 shares none
     of 32 bands of 4 minima with a chance of 5e-6; the signature check passes a true link but for about 1e-6.
     """
     ship(docs.sparkSession)
     least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
     sketch = saved(docs.mapInArrow(_sketcher(words, bands, rows, seed), "doc_id long, key long, n_shingles long, cls long, bands array<long>"), "sketch")
     one = sketch.where("cls is not null").groupBy("cls").agg(F.min(F.struct("key", "n_shingles", "bands")).alias("m")).select("cls", "m.key", F.col("m.n_shingles").alias("size"), "m.bands")
     keyed = one.select("cls", "key", "size", F.posexplode("bands").alias("band", "bucket"))
@@ -240,8 +240,13 @@ def minhash_dedup(docs: DataFrame, *, words: int = 5, percent: int = 75, bands:
     links = links.union(saved(joins, "links"))
 
     comps = connected_components(links).withColumnRenamed("node", "cls")
-    rooted = saved(sketch.select("doc_id", "n_shingles", "cls").join(comps, "cls", "left").withColumn("root", F.coalesce("root", "cls")).drop("cls"), "rooted")
+    rooted = saved(sketch.select("key", "doc_id", "n_shingles", "cls").join(comps, "cls", "left").withColumn("root", F.coalesce("root", "cls")).drop("cls"), "rooted")
     forget(members, sets, sketch)
     named = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = rooted.join(named, "root", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+    return out.select("key", "doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+
+
+def minhash_dedup(docs: DataFrame, **options) -> DataFrame:
+    """near_groups without the key: (doc_id, n_shingles, component_id, kept)."""
+    return near_groups(docs, **options).drop("key")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import read, row_key, ship
 from .linededup import line_dedup
-from .minhash import minhash_dedup
+from .minhash import near_groups
 from .mixing import mixed_documents
 from .pieces import encode
 from .toxicity import toxic_filter
@@ -39,11 +39,13 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id; of equal rows one stays."""
-    # a null doc_id is never the smallest: such rows stay where the whole group has none, as do equal ids with other texts
-    drop = minhash_dedup(docs).where("not kept").select("doc_id").distinct()
-    once = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("row")).dropDuplicates(["key"])
-    return once.join(drop, F.col("id").eqNullSafe(F.col("doc_id")), "left_anti").select("row.*")
+    """One document of each group of near-duplicates: that with the smallest doc_id; of equal rows one stays.
+
+    Rows with a null doc_id go if a row of their group has one.
+    """
+    drop = near_groups(docs).where("not kept").select("key").distinct()
+    once = docs.select(row_key().alias("key"), F.struct(*docs.columns).alias("row")).dropDuplicates(["key"])
+    return once.join(drop, "key", "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

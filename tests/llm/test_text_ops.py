@@ -327,7 +327,7 @@ def test_toxicity_without_labels(spark):
 def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
     rows, labels = toxic_rows(random.Random(7), 240)
     long = " ".join(f"tok{i}" for i in range(80))
-    rows += [(500, long), (501, long + " more"), (502, None), (503, ""), (None, "some text without an id")]
+    rows += [(500, long), (501, long + " more"), (502, None), (503, ""), (None, "some text without an id"), (None, long + " end")]
     df = docs(spark, rows, lambda i: f"s{(i or 0) % 3}")
     spark.createDataFrame(labels, "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     d = df
@@ -339,7 +339,9 @@ def test_stages_keep_columns_and_clean_documents(spark, tmp_path):
             assert sum(i % 4 == 0 for i in ids if i is not None and i < 240) <= 2
             assert {i for i, _ in rows if i is None or i % 4} <= ids | {500}
         if stage is stages.drop_near_duplicates:
-            ids = {r.doc_id for r in d.collect()}
+            left = d.collect()
+            ids = {r.doc_id for r in left}
             assert 501 not in ids and {500, 502, 503, None} <= ids
+            assert [r.text for r in left if r.doc_id is None] == ["some text without an id"]
     out = stages.tokenize(spark, d, str(tmp_path))
     assert out.count() == d.count()
