@@ -31,7 +31,7 @@ from .vectext import pieces as slices
 
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-_CACHE = 250_000
+_CACHE = 120_000
 FREE = 1 << 30  # in the place of a piece: whatever comes before, any piece may follow
 
 
@@ -114,7 +114,7 @@ class Codec:
     def fit(self, a: int, b: int) -> bool:
         ok = self.fits.get((a, b))
         if ok is None:
-            if len(self.fits) > 4 * _CACHE:
+            if len(self.fits) > 3 * _CACHE:
                 self.fits.clear()
             x, y = self.string(a), self.string(b)
             ok = self.fits[a, b] = self.merged(x + y) == [x, y]

@@ -86,7 +86,7 @@ class Words:
         return long, mix((self._total[self.start[long] + k - 1] - self._before[long]) * self._down[long])
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with at most `most` bytes of text (a longer document stands alone), as (slice, bytes, offsets)."""
     for batch in batches:
         data, offsets = raw(batch.column(batch.schema.get_field_index(text)))
@@ -96,6 +96,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4
             to = min(n, max(at + 1, to))
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
+    pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
 
 def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
