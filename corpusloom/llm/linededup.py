@@ -15,10 +15,14 @@ document all of whose lines go keeps the empty text. Extra columns are carried a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, row_key, saved
+from .common import forget, row_key, saved, ship
 
 _WS = " \t\n\x0b\f\r"
 
@@ -67,10 +71,77 @@ def line_decisions(docs: DataFrame, *, depth: int, similarity: float, min_docs:
     return out
 
 
-def line_dedup(docs: DataFrame, *, depth: int = 4, similarity: float = 0.7, min_docs: int = 3, min_tokens: int = 3) -> DataFrame:
-    """documents -> the same columns with the text that is left, and n_lines and n_dropped, a row for each row."""
+def _matcher(similarity: float):
+    """(leaf, h, codes), sorted by leaf and with its commonest lines first -> (leaf, h, template): the h of the line that
+    started the template. Only the starting lines of one leaf are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaf, starts, ids, n = None, np.empty((0, 0), np.int64), [], 0
+        for t in batches:
+            leaves, hs = t.column(0).to_pylist(), t.column(1).to_pylist()
+            codes, at = t.column(2).flatten().to_numpy(), t.column(2).offsets.to_numpy()
+            at, out = at - at[0], []
+            for i, (now, h) in enumerate(zip(leaves, hs, strict=True)):
+                row = codes[at[i] : at[i + 1]]
+                if now != leaf:
+                    leaf, starts, ids, n = now, np.empty((4, len(row)), np.int64), [], 0
+                if n:
+                    same = ((starts[:n] == row) & (row != 0)).sum(axis=1)
+                    best = int(same.argmax())
+                    if same[best] >= len(row) * similarity:
+                        out.append(ids[best])
+                        continue
+                if n == len(starts):
+                    starts = np.concatenate([starts, np.empty_like(starts)])
+                starts[n] = row
+                ids.append(h)
+                n += 1
+                out.append(h)
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(out, pa.int64())], ["leaf", "h", "template"])
+
+    return run
+
+
+def matched_decisions(docs: DataFrame, *, depth: int, similarity: float, min_docs: int, min_tokens: int) -> DataFrame:
+    """As line_decisions, but each line of a leaf is held against the leaf's templates.
+
+    A template is started by the commonest line that fits none before it; a line joins the one that it equals in most
+    places, if those are the share `similarity` of them. The other places are variable fields for that line. What a place
+    is does not depend on how many documents there are, nor on how often a field's values recur. The distinct lines of a
+    leaf pass through one task one by one; it keeps those that started a template.
+    """
+    ship(docs.sparkSession)
+    parsed = docs.where("text is not null").select("key", F.posexplode(_lines(F.col("text"))).alias("line_no", "line"))
+    parsed = parsed.withColumn("tokens", masked_tokens(F.col("line"))).where(F.size("tokens") >= min_tokens)
+    lines = saved(parsed.select("key", "line_no", _leaf(F.col("tokens"), depth).alias("leaf")), "lines")
+    busy = lines.groupBy("leaf").agg(F.count_distinct("key").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    want = lines.join(busy, "leaf").groupBy("key").agg(F.collect_set("line_no").alias("want"))
+    again = docs.join(want, "key").select("key", "doc_id", "want", _lines(F.col("text")).alias("ls"))
+    again = again.select("key", "doc_id", F.explode(F.transform("want", lambda i: F.struct(i.alias("line_no"), F.get(F.col("ls"), i).alias("line")))).alias("l"))
+    again = again.select("key", "doc_id", "l.line_no", masked_tokens(F.col("l.line")).alias("tokens"))
+    codes = F.transform("tokens", lambda t: F.xxhash64(t))
+    hot = again.select("key", "doc_id", "line_no", _leaf(F.col("tokens"), depth).alias("leaf"), F.xxhash64("tokens").alias("h"), codes.alias("codes"))
+    hot = saved(hot.distinct(), "hot")
+
+    kinds = hot.groupBy("leaf", "h").agg(F.count_distinct("key").alias("n"), F.min("codes").alias("codes"))
+    kinds = kinds.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "h").select("leaf", "h", "codes")
+    forms = saved(kinds.mapInArrow(_matcher(similarity), "leaf long, h long, template long"), "forms")
+    of = saved(hot.select("key", "doc_id", "line_no", "leaf", "h").join(forms, ["leaf", "h"]).select("key", "doc_id", "line_no", F.xxhash64("leaf", "template").alias("template")), "of-template")
+    recurring = of.groupBy("template").agg(F.count_distinct("key").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
+    recurring = recurring.where(F.col("n") >= min_docs).select("template", F.col("first.key").alias("first"))
+    out = saved(of.join(recurring, "template").where("key <> first").groupBy("key").agg(F.collect_set("line_no").alias("drop")), "drops")
+    forget(lines, hot, forms, of)
+    return out
+
+
+def line_dedup(docs: DataFrame, *, depth: int = 4, similarity: float = 0.7, min_docs: int = 3, min_tokens: int = 3, matched: bool = False) -> DataFrame:
+    """documents -> the same columns with the text that is left, and n_lines and n_dropped, a row for each row.
+
+    matched: by matched_decisions; else by line_decisions, the rules that op1_lines shares with its SQL.
+    """
     keyed = docs.select(row_key().alias("key"), F.struct(*docs.columns).alias("row"))
-    drops = line_decisions(docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), depth=depth, similarity=similarity, min_docs=min_docs, min_tokens=min_tokens)
+    decide = matched_decisions if matched else line_decisions
+    drops = decide(docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), depth=depth, similarity=similarity, min_docs=min_docs, min_tokens=min_tokens)
     whole = F.col("row.text").cast("string")
     ls = _lines(whole)
     left = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("drop"))

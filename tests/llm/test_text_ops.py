@@ -45,6 +45,17 @@ def test_line_dedup_leaves_rare_lines(spark):
     assert all(r.n_dropped == 0 for r in line_dedup(docs(spark, rows)).collect())
 
 
+def stage_texts(spark, rows):
+    return {r.doc_id: r.text for r in stages.drop_recurring_lines(spark, docs(spark, rows), "").collect()}
+
+
+def test_pipeline_lines_join_the_template_they_fit(spark):
+    words = [f"w{chr(97 + i)}" for i in range(20)]
+    rows = [(i, "\n".join([f"own {chr(97 + i) * 3}", " ".join(words if i < 1 else words[: 3 + i] + [chr(97 + i) * 5] + words[4 + i :])])) for i in range(14)]
+    got = stage_texts(spark, rows)
+    assert got == {i: t if i == 0 else t.split("\n")[0] for i, t in rows}
+
+
 # context-tree weighting
 
 
