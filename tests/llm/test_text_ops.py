@@ -56,6 +56,13 @@ def test_pipeline_lines_join_the_template_they_fit(spark):
     assert got == {i: t if i == 0 else t.split("\n")[0] for i, t in rows}
 
 
+def test_pipeline_lines_with_values_that_recur(spark):
+    names = "ada bob cyd dan eve fay".split()
+    rows = [(6 * i + j, f"own {a}{b}\nThis page was last changed by user {a} from the city of {b} in spring") for i, a in enumerate(names) for j, b in enumerate(names)]
+    got = stage_texts(spark, rows)
+    assert got == {i: t if i == 0 else t.split("\n")[0] for i, t in rows}
+
+
 # context-tree weighting
 
 
