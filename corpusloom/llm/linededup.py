@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import forget, row_key, saved, ship
 
 _WS = " \t\n\x0b\f\r"
+_GAP = "[\\x20\\x09-\\x0D]+"
 
 
 def _lines(text: Column) -> Column:
@@ -34,7 +35,7 @@ def _lines(text: Column) -> Column:
 def masked_tokens(line: Column) -> Column:
     """Tokens of a line, those with a digit as <*>; none for a blank line."""
     bare = F.trim(line, F.lit(_WS))
-    tokens = F.transform(F.split(bare, "[\\x20\\x09-\\x0D]+"), lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
+    tokens = F.transform(F.split(bare, _GAP), lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(tokens)
 
 
@@ -102,34 +103,42 @@ def _matcher(similarity: float):
     return run
 
 
-def matched_decisions(docs: DataFrame, *, depth: int, similarity: float, min_docs: int, min_tokens: int) -> DataFrame:
+def matched_decisions(docs: DataFrame, *, depth: int, similarity: float, min_docs: int, min_tokens: int, pair_tokens: int = 50) -> DataFrame:
     """As line_decisions, but each line of a leaf is held against the leaf's templates.
 
     A template is started by the commonest line that fits none before it; a line joins the one that it equals in most
     places, if those are the share `similarity` of them. The other places are variable fields for that line. What a place
     is does not depend on how many documents there are, nor on how often a field's values recur. The distinct lines of a
     leaf pass through one task one by one; it keeps those that started a template.
+
+    Equal lines recur too: those of more than `pair_tokens` tokens in two documents, others in min_docs; so do lines with
+    too few places without digits to be a template.
     """
     ship(docs.sparkSession)
     parsed = docs.where("text is not null").select("key", F.posexplode(_lines(F.col("text"))).alias("line_no", "line"))
     parsed = parsed.withColumn("tokens", masked_tokens(F.col("line"))).where(F.size("tokens") >= min_tokens)
-    lines = saved(parsed.select("key", "line_no", _leaf(F.col("tokens"), depth).alias("leaf")), "lines")
-    busy = lines.groupBy("leaf").agg(F.count_distinct("key").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    lines = saved(parsed.select("key", "line_no", _leaf(F.col("tokens"), depth).alias("leaf"), (F.size("tokens") > pair_tokens).alias("long")), "lines")
+    enough = F.col("n") >= F.when(F.col("long"), F.lit(min(2, min_docs))).otherwise(F.lit(min_docs))
+    busy = lines.groupBy("leaf").agg(F.count_distinct("key").alias("n"), F.max("long").alias("long")).where(enough).select("leaf")
     want = lines.join(busy, "leaf").groupBy("key").agg(F.collect_set("line_no").alias("want"))
     again = docs.join(want, "key").select("key", "doc_id", "want", _lines(F.col("text")).alias("ls"))
     again = again.select("key", "doc_id", F.explode(F.transform("want", lambda i: F.struct(i.alias("line_no"), F.get(F.col("ls"), i).alias("line")))).alias("l"))
-    again = again.select("key", "doc_id", "l.line_no", masked_tokens(F.col("l.line")).alias("tokens"))
+    again = again.select("key", "doc_id", "l.line_no", F.xxhash64(F.split(F.trim("l.line", F.lit(_WS)), _GAP)).alias("exact"), masked_tokens(F.col("l.line")).alias("tokens"))
     codes = F.transform("tokens", lambda t: F.xxhash64(t))
-    hot = again.select("key", "doc_id", "line_no", _leaf(F.col("tokens"), depth).alias("leaf"), F.xxhash64("tokens").alias("h"), codes.alias("codes"))
+    hot = again.select("key", "doc_id", "line_no", "exact", (F.size("tokens") > pair_tokens).alias("long"), _leaf(F.col("tokens"), depth).alias("leaf"), F.xxhash64("tokens").alias("h"), codes.alias("codes"))
     hot = saved(hot.distinct(), "hot")
 
     kinds = hot.groupBy("leaf", "h").agg(F.count_distinct("key").alias("n"), F.min("codes").alias("codes"))
     kinds = kinds.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "h").select("leaf", "h", "codes")
     forms = saved(kinds.mapInArrow(_matcher(similarity), "leaf long, h long, template long"), "forms")
-    of = saved(hot.select("key", "doc_id", "line_no", "leaf", "h").join(forms, ["leaf", "h"]).select("key", "doc_id", "line_no", F.xxhash64("leaf", "template").alias("template")), "of-template")
-    recurring = of.groupBy("template").agg(F.count_distinct("key").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
-    recurring = recurring.where(F.col("n") >= min_docs).select("template", F.col("first.key").alias("first"))
-    out = saved(of.join(recurring, "template").where("key <> first").groupBy("key").agg(F.collect_set("line_no").alias("drop")), "drops")
+    named = hot.select("key", "doc_id", "line_no", "exact", "long", "leaf", "h").join(forms, ["leaf", "h"])
+    of = saved(named.select("key", "doc_id", "line_no", "exact", "long", F.xxhash64("leaf", "template").alias("template")), "of-template")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("first")
+    alike = of.groupBy("template").agg(F.count_distinct("key").alias("n"), first).where(F.col("n") >= min_docs).select("template", "first")
+    equal = of.groupBy("exact", "long").agg(F.count_distinct("key").alias("n"), first).where(enough).select("exact", "first")
+    gone = of.join(alike, "template").where("key <> first").select("key", "line_no")
+    gone = gone.union(of.join(equal, "exact").where("key <> first").select("key", "line_no"))
+    out = saved(gone.groupBy("key").agg(F.collect_set("line_no").alias("drop")), "drops")
     forget(lines, hot, forms, of)
     return out
 

@@ -32,7 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without recurring lines; a document that had text and loses all its lines goes."""
-    out = line_dedup(docs, matched=True).where("n_dropped = 0 or n_dropped < n_lines")
+    out = line_dedup(docs, min_tokens=1, matched=True).where("n_dropped = 0 or n_dropped < n_lines")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, _counted(docs)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

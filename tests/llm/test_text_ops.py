@@ -63,6 +63,13 @@ def test_pipeline_lines_with_values_that_recur(spark):
     assert got == {i: t if i == 0 else t.split("\n")[0] for i, t in rows}
 
 
+def test_pipeline_short_lines_and_long_pairs(spark):
+    passage = " ".join(f"p{chr(97 + i % 26) * (1 + i // 26)}" for i in range(60))
+    rows = [(i, f"own {chr(97 + i) * 4}\nLes.\nAnd ornd.\n\n" + (passage if i > 2 else "end " + chr(98 + i) * 5)) for i in range(5)]
+    got = stage_texts(spark, rows)
+    assert got == {i: t if i == 0 else "\n".join(x for x in t.split("\n") if x not in ("Les.", "And ornd.") and (i < 4 or x != passage)) for i, t in rows}
+
+
 # context-tree weighting
 
 
