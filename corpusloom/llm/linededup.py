@@ -107,7 +107,7 @@ def matched_decisions(docs: DataFrame, *, depth: int, similarity: float, min_doc
     """As line_decisions, but each line of a leaf is held against the leaf's templates.
 
     A template is started by the commonest line that fits none before it; a line joins the one that it equals in most
-    places, if those are the share `similarity` of them. The other places are variable fields for that line. What a place
+    places, if those are the share `similarity` of all; a masked <*> equals nothing. The other places are variable fields for that line. What a place
     is does not depend on how many documents there are, nor on how often a field's values recur. The distinct lines of a
     leaf pass through one task one by one; it keeps those that started a template.
 
@@ -124,17 +124,18 @@ def matched_decisions(docs: DataFrame, *, depth: int, similarity: float, min_doc
     again = docs.join(want, "key").select("key", "doc_id", "want", _lines(F.col("text")).alias("ls"))
     again = again.select("key", "doc_id", F.explode(F.transform("want", lambda i: F.struct(i.alias("line_no"), F.get(F.col("ls"), i).alias("line")))).alias("l"))
     again = again.select("key", "doc_id", "l.line_no", F.xxhash64(F.split(F.trim("l.line", F.lit(_WS)), _GAP)).alias("exact"), masked_tokens(F.col("l.line")).alias("tokens"))
-    codes = F.transform("tokens", lambda t: F.xxhash64(t))
+    codes = F.transform("tokens", lambda t: F.when(t == "<*>", F.lit(0)).otherwise(F.xxhash64(t)))
     hot = again.select("key", "doc_id", "line_no", "exact", (F.size("tokens") > pair_tokens).alias("long"), _leaf(F.col("tokens"), depth).alias("leaf"), F.xxhash64("tokens").alias("h"), codes.alias("codes"))
     hot = saved(hot.distinct(), "hot")
 
     kinds = hot.groupBy("leaf", "h").agg(F.count_distinct("key").alias("n"), F.min("codes").alias("codes"))
+    kinds = kinds.where(F.size(F.filter("codes", lambda c: c != 0)) >= F.size("codes") * similarity)
     kinds = kinds.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "h").select("leaf", "h", "codes")
     forms = saved(kinds.mapInArrow(_matcher(similarity), "leaf long, h long, template long"), "forms")
-    named = hot.select("key", "doc_id", "line_no", "exact", "long", "leaf", "h").join(forms, ["leaf", "h"])
-    of = saved(named.select("key", "doc_id", "line_no", "exact", "long", F.xxhash64("leaf", "template").alias("template")), "of-template")
+    named = hot.select("key", "doc_id", "line_no", "exact", "long", "leaf", "h").join(forms, ["leaf", "h"], "left")
+    of = saved(named.select("key", "doc_id", "line_no", "exact", "long", F.when(F.col("template").isNotNull(), F.xxhash64("leaf", "template")).alias("template")), "of-template")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("first")
-    alike = of.groupBy("template").agg(F.count_distinct("key").alias("n"), first).where(F.col("n") >= min_docs).select("template", "first")
+    alike = of.where("template is not null").groupBy("template").agg(F.count_distinct("key").alias("n"), first).where(F.col("n") >= min_docs).select("template", "first")
     equal = of.groupBy("exact", "long").agg(F.count_distinct("key").alias("n"), first).where(enough).select("exact", "first")
     gone = of.join(alike, "template").where("key <> first").select("key", "line_no")
     gone = gone.union(of.join(equal, "exact").where("key <> first").select("key", "line_no"))

@@ -70,6 +70,12 @@ def test_pipeline_short_lines_and_long_pairs(spark):
     assert got == {i: t if i == 0 else "\n".join(x for x in t.split("\n") if x not in ("Les.", "And ornd.") and (i < 4 or x != passage)) for i, t in rows}
 
 
+def test_pipeline_keeps_lines_of_numbers(spark):
+    rows = [(i, f"202{i} 3{i}.5 1{i} {i}\n2021 34.5 12 9\nYear 202{i} was {i} {i}") for i in range(5)]
+    got = stage_texts(spark, rows)
+    assert got == {i: t if i == 0 else t.replace("2021 34.5 12 9\n", "") for i, t in rows}
+
+
 # context-tree weighting
 
 
