@@ -26,7 +26,9 @@ from .common import ship
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title meta link datalist iframe noembed noframes object audio video canvas svg math".split())
+UNSEEN = frozenset("head script style template noscript title meta link datalist iframe noembed noframes object audio video canvas".split())
+#: Not shown inside svg and math.
+UNSEEN_THERE = frozenset("desc metadata defs symbol annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr caption ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl table pre blockquote figure hr fieldset".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
@@ -95,10 +97,13 @@ def build(source: str) -> Node:
         if m[1]:
             _close(stack, tag)
             continue
+        foreign = stack.open["svg"] > 0 or stack.open["math"] > 0
         _imply(stack, tag)
-        node = Node(tag, m[3])
+        node = Node(tag, m[3] + " hidden" if foreign and tag in UNSEEN_THERE else m[3])
+        if foreign and tag == "text":
+            stack[-1].children.append(" ")
         stack[-1].children.append(node)
-        if tag in VOID:
+        if tag in VOID or foreign and m[3].endswith("/"):
             continue
         if tag in RAW:
             end = re.compile(f"</{tag}(?=[\\s/>])[^>]*>?", re.I).search(source, at)
@@ -206,29 +211,54 @@ class _Page:
         self.gap |= spaced
 
 
-def _rows(table: Node) -> list[Node]:
-    out, todo = [], list(reversed(table.children))
+def _parts(table: Node) -> tuple[list[Node | str], list[Node]]:
+    """What stands in a table outside its rows, and the rows: those of row groups and of other elements around rows."""
+    around, todo = set(), [(x, ()) for x in table.children]
+    while todo:
+        x, path = todo.pop()
+        if isinstance(x, str) or x.tag == "table" or x.hidden():
+            continue
+        if x.tag == "tr":
+            while path and id(path[0]) not in around:
+                around.add(id(path[0]))
+                path = path[1]
+        else:
+            todo.extend((y, (x, path)) for y in x.children)
+    stray, rows, todo = [], [], list(reversed(table.children))
     while todo:
         x = todo.pop()
-        if isinstance(x, Node) and not x.hidden():
+        if isinstance(x, str):
+            stray.append(x)
+        elif not x.hidden():
             if x.tag == "tr":
-                out.append(x)
-            elif x.tag in ("tbody", "thead", "tfoot"):
+                rows.append(x)
+            elif x.tag in ("tbody", "thead", "tfoot", "colgroup") or id(x) in around:
                 todo.extend(reversed(x.children))
-    return out
+            else:
+                stray.append(x)
+    return stray, rows
+
+
+def _alone(x: Node, depth: int) -> list[str]:
+    """Lines of an element that stands in a table but in no cell."""
+    around = Node("#stray")
+    around.children.append(x)
+    return render(around, depth + 1)
 
 
 def _table(page: _Page, table: Node, depth: int) -> None:
     """Captions and stray content first, then the rows with their cells padded to the widest of each column."""
-    for x in table.children:
+    stray, rows = _parts(table)
+    for x in stray:
         if isinstance(x, str):
             page.inline(x)
-        elif x.tag not in ("tr", "tbody", "thead", "tfoot", "colgroup", "col") and not x.hidden():
-            for line in render(x, depth + 1):
+        else:
+            page.flush()
+            for line in _alone(x, depth):
                 page.put(line)
     page.flush()
     grid, rest = [], []
-    for row in _rows(table):
+    for row in rows:
         cells = []
         for x in row.children:
             if isinstance(x, Node) and x.tag in ("td", "th"):
@@ -239,7 +269,7 @@ def _table(page: _Page, table: Node, depth: int) -> None:
             elif isinstance(x, str):
                 rest.append(x)
             elif not x.hidden():
-                rest.extend(render(x, depth + 1))
+                rest.extend(_alone(x, depth))
         grid.append(cells)
     width = [max(len(r[c]) if c < len(r) else 0 for r in grid) for c in range(max(map(len, grid), default=0))]
     for r in grid:

@@ -289,6 +289,17 @@ def test_html_layout():
     assert text_of(h) == "A & B\n\none\n\ntwo x y\nz\n\n- a\n- b\n  3. c\n\nCap\nN      Q\napple  3\n\n k\n  l\n\nend"
 
 
+def test_html_tables_and_formulas_lose_no_text():
+    assert text_of("<table><tbody>note<tr><td>a<td>b</table>") == "note\na  b"
+    assert text_of("<table><tbody><p>one</p><tr><td>a</tr><b>two</b> three</tbody></table>") == "one\ntwo\nthree\na"
+    assert text_of("<table><tbody><form><tr><td>a<td>b</tr>of <i>form</i></form></table>") == "of\nform\na  b"
+    assert text_of("<table><tr><td>x<table><tbody>in<tr><td>y</table></table>") == "x in y"
+    assert text_of("<table><div hidden><tr><td>no</td></tr></div><tr><td>a</td><img alt=pic></table>") == "a\npic"
+    assert text_of("<table>" + "<div>" * 20_000 + "<tr><td>deep") == "deep"
+    assert text_of("<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> holds") == "so x=2 holds"
+    assert text_of("<svg><title>t</title><style/><defs/><path d='M0'/><text>A</text><text>B</text></svg>end") == "A Bend"
+
+
 def test_html_never_fails(spark):
     rng = random.Random(5)
     parts = ["<div>", "</div>", "<p", ">", "<table>", "<tr>", "<td>", "</td>", "text", "<li>", "</ul>", "<!--", "-->", "&amp", "<a href='", '"', "<![CDATA[", "]]>", "<script>", "</script>", "<pre>", "\n", "<br/>", "<"]
