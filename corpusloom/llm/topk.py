@@ -7,7 +7,8 @@ least one slice (scores counted from the slice's least): such entries are collec
 all other slices leaves them short. (3) What is left gets its remaining slice scores, and the k best are exact.
 
 Vectors and queries go in blocks, every block of vectors with every block of queries, so that a task holds two blocks.
-The cutoffs travel with their block of queries.
+The cutoffs travel with their block of queries. In the lists a row is known by its block and place, as a vec_id may have
+several rows.
 
 Cases: vectors null or with null or non-finite components take no part; vectors of another length than the query are no
 candidates; rows that share a query's vec_id are its own and no candidates of it, and of several such rows the query is
@@ -86,24 +87,24 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _local(k: int, nodes: int):
-    """Phase 1: (query_id, node, least, vec_id, score) of each slice's local list."""
+    """Phase 1: (query_id, node, least, block, row, vec_id, score) of each slice's local list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             for r in t.to_pylist():
                 q, x = _matrix(r["q_mat"], r["dim"]), _matrix(r["mat"], r["dim"])
                 q_ids, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], [], []]
                 for node, s in enumerate(_slices(q, x, nodes)):
                     for i in range(len(q)):
                         other = np.flatnonzero(ids != q_ids[i])
                         if not len(other):
                             continue
                         top = other[_best(s[i, other], ids[other], k)]
-                        for o, v in zip(out, (np.full(len(top), q_ids[i]), np.full(len(top), node), np.full(len(top), s[i].min()), ids[top], s[i, top]), strict=True):
+                        for o, v in zip(out, (np.full(len(top), q_ids[i]), np.full(len(top), node), np.full(len(top), s[i].min()), np.full(len(top), r["block"]), top, ids[top], s[i, top]), strict=True):
                             o.append(v)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(np.int64)) for o in out], ["query_id", "node", "least", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(np.int64)) for o in out], ["query_id", "node", "least", "block", "row", "vec_id", "score"])
 
     return run
 
@@ -145,7 +146,7 @@ def top_k(vecs: DataFrame, *, k: int = 10, every: int = 100, scale: int = 1024,
     ship(spark)
     rows = vecs.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null")
     rows = saved(rows.mapInArrow(_quantiser(scale), "vec_id long, raw binary").where("raw is not null"), "quantised")
-    blocks = saved(rows.mapInArrow(_blocker(block), "dim int, ids binary, mat binary"), "vec-blocks")
+    blocks = saved(rows.mapInArrow(_blocker(block), "dim int, ids binary, mat binary").withColumn("block", F.monotonically_increasing_id()), "vec-blocks")
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("raw").alias("raw"))
     asked = asked.withColumn("dim", (F.length("raw") / 8).cast("int"))
     asked = saved(asked.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-asked.count() // query_block)))).cast("int")), "asked")
@@ -159,11 +160,11 @@ def top_k(vecs: DataFrame, *, k: int = 10, every: int = 100, scale: int = 1024,
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         return spread.join(q, ["qb", "dim"]).repartition(parts, "qb", F.xxhash64("ids"))
 
-    lists = saved(paired(asked).mapInArrow(_local(k, nodes), "query_id long, node long, least long, vec_id long, score long"), "lists")
+    lists = saved(paired(asked).mapInArrow(_local(k, nodes), "query_id long, node long, least long, block long, row long, vec_id long, score long"), "lists")
     least = lists.groupBy("query_id", "node").agg(F.min("least").alias("least"))
-    place = F.row_number().over(Window.partitionBy("query_id", "node").orderBy(F.desc("score"), "vec_id"))
+    place = F.row_number().over(Window.partitionBy("query_id", "node").orderBy(F.desc("score"), "vec_id", "block", "row"))
     best = lists.withColumn("place", place).where(F.col("place") <= k).join(least.withColumnRenamed("least", "floor"), ["query_id", "node"])
-    partial = best.groupBy("query_id", "vec_id").agg(F.sum(F.col("score") - F.col("floor")).alias("sum"))
+    partial = best.groupBy("query_id", "block", "row").agg(F.sum(F.col("score") - F.col("floor")).alias("sum"))
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sum")))
     cutoff = partial.withColumn("place", nth).where(F.col("place") <= k).groupBy("query_id").agg(F.when(F.count("*") < k, 0).otherwise(F.min("sum")).alias("cutoff"))
     floors = least.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("node", "least"))), lambda s: s["least"]).alias("least"))

@@ -142,6 +142,17 @@ def test_top_k_large_components_stay_exact(spark):
     assert len(got) == 3 and all(r.score == int(2**29 + r.query_id) * int(2**29 + r.vec_id) + 9 for r in got)
 
 
+def test_top_k_repeated_rows_raise_no_cutoff(spark):
+    rows = [(0, [4.0] * 4), (99, [1.796875] * 4)]
+    for other in (0.0, 1.0):  # the second row of a vec_id equal to the first, or high in another slice
+        one = [(1 + 5 * s + i, [4.0 * (c == s) for c in range(4)]) for s in range(4) for i in range(5)]
+        two = one if not other else [(v, x[1:] + x[:1]) for v, x in one]
+        for block in (2048, 8):
+            got = top_k(spark.createDataFrame(rows + one + two, "vec_id long, embedding array<double>"), block=block).collect()
+            assert sorted((r["rank"], r.vec_id, r.score) for r in got)[0] == (1, 99, 30146560)
+            assert [r.score for r in got if r.vec_id != 99] == [16777216] * 9
+
+
 @pytest.mark.parametrize("n", [1, 2])
 def test_tiny(spark, n):
     df = spark.createDataFrame([(i, "a b c d e f", "k", 1, "r") for i in range(n)], DOCS)
