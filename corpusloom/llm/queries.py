@@ -81,21 +81,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op1_lines": r"""
-        WITH ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
-        tk AS (SELECT doc_id, line_no, line, list_transform(string_split_regex(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+'),
-            lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens FROM ln),
-        lf AS (SELECT doc_id, line_no, tokens, concat_ws(chr(1), len(tokens), array_to_string(tokens[1:4], chr(1))) AS leaf FROM tk WHERE len(tokens) >= 3),
-        busy AS (SELECT leaf FROM lf GROUP BY leaf HAVING count(DISTINCT doc_id) >= 3),
-        hot AS (SELECT lf.* FROM lf JOIN busy USING (leaf)),
-        kinds AS (SELECT leaf, tokens, count(DISTINCT doc_id) AS n FROM hot GROUP BY leaf, tokens),
-        places AS (SELECT leaf, tokens, n, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS pos FROM kinds),
-        often AS (SELECT leaf, pos, token FROM places WHERE pos >= 4 GROUP BY ALL HAVING sum(n) >= 3),
-        kept AS (SELECT a.leaf, a.tokens, count(*) AS c, string_agg(a.pos || ':' || a.token, chr(1) ORDER BY a.pos) AS kept FROM places a JOIN often USING (leaf, pos, token) GROUP BY a.leaf, a.tokens),
-        forms AS (SELECT k.leaf, k.tokens, k.leaf || chr(2) || coalesce(kept, '') AS template FROM kinds k LEFT JOIN kept USING (leaf, tokens)
-            WHERE least(4, len(k.tokens)) + coalesce(c, 0) >= len(k.tokens) * 0.7),
-        hits AS (SELECT doc_id, line_no, template FROM hot JOIN forms USING (leaf, tokens)),
-        again AS (SELECT template, min(doc_id) AS first FROM hits GROUP BY template HAVING count(DISTINCT doc_id) >= 3),
-        gone AS (SELECT DISTINCT doc_id, line_no FROM hits JOIN again USING (template) WHERE doc_id <> first)
+        WITH RECURSIVE ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+        wd AS (SELECT doc_id, line_no, string_split_regex(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+') AS words FROM ln),
+        lf AS (SELECT doc_id, line_no, words, list_transform(words, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens FROM wd WHERE words <> ['']),
+        kinds AS (SELECT tokens, array_to_string([len(tokens)::VARCHAR] || tokens[1:4], chr(1)) AS leaf, count(DISTINCT doc_id) AS n, min((doc_id, line_no)) AS place FROM lf
+            WHERE 100 * len(list_filter(tokens, lambda t: t <> '<*>')) >= 70 * len(tokens) GROUP BY tokens),
+        busy AS (SELECT leaf FROM kinds GROUP BY leaf HAVING sum(n) >= 3),
+        ranked AS (SELECT leaf, tokens, row_number() OVER (PARTITION BY leaf ORDER BY n DESC, place) AS i FROM kinds JOIN busy USING (leaf)),
+        walk(leaf, i, tokens, template, starts) AS (
+            SELECT leaf, i, tokens, i, [{'i': i, 't': tokens}] FROM ranked WHERE i = 1
+            UNION ALL
+            SELECT leaf, i, tokens, coalesce(hit, i), CASE WHEN hit IS NULL THEN list_append(starts, {'i': i, 't': tokens}) ELSE starts END FROM (
+                SELECT leaf, i, tokens, starts, CASE WHEN 100 * list_max(same) >= 70 * len(tokens) THEN starts[list_position(same, list_max(same))].i END AS hit FROM (
+                    SELECT r.leaf, r.i, r.tokens, w.starts, list_transform(w.starts, lambda s: len(list_filter(range(1, len(r.tokens) + 1), lambda p: s.t[p] = r.tokens[p] AND s.t[p] <> '<*>'))) AS same
+                    FROM walk w JOIN ranked r ON r.leaf = w.leaf AND r.i = w.i + 1))),
+        hits AS (SELECT doc_id, line_no, leaf, template FROM lf JOIN walk USING (tokens)),
+        again AS (SELECT leaf, template, min(doc_id) AS first FROM hits GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
+        equal AS (SELECT words, min(doc_id) AS first FROM lf GROUP BY words HAVING count(DISTINCT doc_id) >= CASE WHEN len(words) > 50 THEN 2 ELSE 3 END),
+        gone AS (SELECT doc_id, line_no FROM hits JOIN again USING (leaf, template) WHERE doc_id <> first UNION SELECT doc_id, line_no FROM lf JOIN equal USING (words) WHERE doc_id <> first)
         SELECT ln.doc_id, coalesce(string_agg(line, chr(10) ORDER BY ln.line_no) FILTER (WHERE gone.doc_id IS NULL), '') AS text, count(*)::INT AS n_lines, count(gone.doc_id)::INT AS n_dropped
         FROM ln LEFT JOIN gone ON gone.doc_id = ln.doc_id AND gone.line_no = ln.line_no GROUP BY ln.doc_id""",
     "op5_warc": """

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, row_key, ship
-from .linededup import line_dedup
+from .linededup import line_decided
 from .minhash import near_groups
 from .mixing import mixed_documents
 from .pieces import encode
@@ -20,22 +20,23 @@ from .toxicity import toxic_filter
 VOCABULARY = os.environ.get("CORPUSLOOM_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
 
 
-def _counted(docs: DataFrame) -> Column:
-    """n_chars of the text where the table has that column."""
-    return F.length("text").cast(docs.schema["n_chars"].dataType)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier predicts to be toxic."""
     return toxic_filter(docs, read(spark, sf_dir, "labels"))
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without recurring lines; a document that had text and loses all its lines goes."""
-    out = line_dedup(docs, min_tokens=1, matched=True).where("n_dropped = 0 or n_dropped < n_lines")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, _counted(docs)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """Without recurring lines; a document that had text and loses all its lines goes. Other columns stay, n_chars follows."""
+    out = line_decided(docs).where("n_dropped = 0 or n_dropped < n_lines")
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col("text")
+        if c == "n_chars":
+            return F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col("row")[c])
+        return F.col("row")[c]
+
+    return out.select(*[column(c).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,9 +57,9 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of consecutive documents: hash, start and end of each; doc[i]:doc[i+1] are those of document i."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, hashes: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, hashes: bool = True, lower: bool = True):
         n = len(data)
-        self.data = data = _LOWER[data]
+        self.data = data = _LOWER[data] if lower else data
         self.offsets = offsets
         word = _IS_WORD[data]
         first = np.zeros(n + 1, bool)

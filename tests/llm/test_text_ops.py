@@ -4,11 +4,13 @@ import gzip
 import io
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import stages, toxicity
 from corpusloom.llm.ctw import ctw_score
@@ -32,7 +34,7 @@ def docs(spark, rows, source="s"):
 def test_line_dedup_templates(spark):
     rows = [(i, f"Unique line number {w} stands here alone\nPosted on 2020-01-{i + 10} by user {w}x about things\nAll rights reserved.\nOf the") for i, w in enumerate(("aa", "bb", "cc", "dd"))]
     rows += [(50, None), (51, ""), (None, "All rights reserved."), (0, rows[0][1])]
-    got = {(r.doc_id, r.n_lines): (r.text, r.n_dropped) for r in line_dedup(docs(spark, rows)).collect()}
+    got = {(r.doc_id, r.n_lines): (r.text, r.n_dropped) for r in line_dedup(docs(spark, rows), min_tokens=3).collect()}
     assert got[0, 4] == (rows[0][1], 0)  # the first document keeps its lines
     assert got[1, 4] == ("Unique line number bb stands here alone\nOf the", 2)
     assert got[50, 0] == (None, 0) and got[51, 1] == ("", 0) and got[None, 1] == ("", 1)
@@ -76,6 +78,59 @@ def test_pipeline_keeps_lines_of_numbers(spark):
     assert got == {i: t if i == 0 else t.replace("2021 34.5 12 9\n", "") for i, t in rows}
 
 
+@pytest.mark.parametrize("filter_bits", [6, 12, 26])
+def test_line_dedup_equals_brute_force(spark, filter_bits):
+    """Greedy templates recomputed line by line; a filter too small to hold the leaves changes nothing."""
+    rng = random.Random(filter_bits)
+    words = [f"{a}{b}" for a in "bcd" for b in "aeiou"]
+    base = [[rng.choice(words) for _ in range(n)] for n in (1, 3, 6, 6, 9, 9, 12, 60, 60)]
+
+    def line():
+        out = list(rng.choice(base))
+        for _ in range(rng.choice((0, 0, 1, 2, 4))):
+            out[rng.randrange(len(out))] = rng.choice([*words, "7", "a1"])
+        return rng.choice((" ", "  ", "\t")).join(out) + rng.choice(("", " "))
+
+    rows = [(i, "\n".join(line() if rng.random() < 0.9 else rng.choice(("", " ")) for _ in range(rng.randint(1, 6)))) for i in range(90)]
+    rows += [(3, rows[3][1]), (200, None), (201, ""), (None, rows[5][1] + "\nx"), (202, "\n".join([" ".join(base[7])] * 3))]
+    tokens = {(k, j): x.split() for k, (_, t) in enumerate(rows) for j, x in enumerate((t or "").split("\n")) if x.split()}
+    masked = {p: tuple("<*>" if re.search("[0-9]", t) else t for t in x) for p, x in tokens.items()}
+    rank = {row: (row[0] is None, row[0] or 0, row[1] or "") for row in rows}
+    holders, at = defaultdict(set), {}
+    for (k, j), m in masked.items():
+        if 100 * sum(t != "<*>" for t in m) >= 70 * len(m):
+            holders[m].add(rows[k])
+            at[m] = min(at.get(m, (True, 1 << 60, 0)), (*rank[rows[k]][:2], j))
+    template, starts = {}, defaultdict(list)
+    for m in sorted(holders, key=lambda m: (-len(holders[m]), at[m])):
+        same = [sum(a == b != "<*>" for a, b in zip(m, s, strict=True)) for s in starts[len(m), m[:4]]]
+        if same and 100 * max(same) >= 70 * len(m):
+            template[m] = starts[len(m), m[:4]][same.index(max(same))]
+        else:
+            starts[len(m), m[:4]].append(m)
+            template[m] = m
+    groups = defaultdict(set)
+    for (k, j), m in masked.items():
+        groups["equal", tuple(tokens[k, j])].add(rows[k])
+        if m in template:
+            groups["alike", template[m]].add(rows[k])
+    gone = {p for p, m in masked.items() for g in (("equal", tuple(tokens[p])), ("alike", template.get(m)))
+            if len(groups[g]) >= (2 if g[0] == "equal" and len(m) > 50 else 3) and rows[p[0]] != min(groups[g], key=rank.get)}
+    want = sorted(repr((i, t and "\n".join(x for j, x in enumerate(t.split("\n")) if (k, j) not in gone), 0 if t is None else t.count("\n") + 1, sum(p[0] == k for p in gone))) for k, (i, t) in enumerate(rows))
+    assert sorted(repr((r.doc_id, r.text, r.n_lines, r.n_dropped)) for r in line_dedup(docs(spark, rows), filter_bits=filter_bits).collect()) == want
+    assert len(gone) > 100
+
+
+def test_lines_of_long_texts_and_clashing_names(spark):
+    many = "\n".join(f"line {chr(97 + i % 26)}{chr(97 + i // 26 % 26)} of all {'x' * (i % 50)}" for i in range(60_000))
+    assert len(many) > 2 << 20
+    tail = "\nthe end that three documents share\nlast " + "z" * (3 << 20) + " words of a line"
+    df = docs(spark, [(i, f"own {i}\n{many}{tail}") for i in range(3)]).withColumns({c: F.lit(777) for c in ("n_dropped", "n_lines", "drop", "row", "at", "id")})
+    got = sorted(stages.drop_recurring_lines(spark, df, "").collect())
+    assert [r.text for r in got] == [f"own {i}" + (f"\n{many}{tail}" if i == 0 else "") for i in range(3)]
+    assert all((r.n_dropped, r.n_lines, r["drop"], r.row, r["at"], r.id, r.n_chars) == (777,) * 6 + (len(r.text),) for r in got)
+
+
 # context-tree weighting
 
 
