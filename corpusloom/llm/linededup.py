@@ -208,13 +208,14 @@ def line_decisions(docs: DataFrame, *, depth: int, percent: int, min_docs: int,
         first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
         return once.groupBy(*by).agg(F.count("*").alias("n"), first)
 
-    alike = recurring("leaf", "template").where(F.col("n") >= min_docs).select("leaf", "template", "first")
-    equal = recurring("leaf", "exact", "long").where(enough).select("leaf", "exact", "first")
+    # written, so that the joins below start from plain shuffles, of which adaptive execution can split skewed ones
+    alike = saved(recurring("leaf", "template").where(F.col("n") >= min_docs).select("leaf", "template", "first"), "alike")
+    equal = saved(recurring("leaf", "exact", "long").where(enough).select("leaf", "exact", "first"), "equal")
     other = ~(F.col("key").eqNullSafe(F.col("first.key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
     gone = of.join(alike, ["leaf", "template"]).where(other).select("key", "doc_id", "line_no")
     gone = gone.union(of.join(equal, ["leaf", "exact"]).where(other).select("key", "doc_id", "line_no"))
     out = saved(gone.groupBy("key", "doc_id").agg(F.collect_set("line_no").alias("drop")), "drops")
-    forget(busy, hot, forms, of)
+    forget(busy, hot, forms, of, alike, equal)
     return out
 
 
