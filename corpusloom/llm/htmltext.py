@@ -2,12 +2,20 @@
 
 All visible text is given, nothing is guessed to be boilerplate. Blocks stand on lines of their own, with a blank line
 around paragraphs, headings, lists and tables; list items have bullets or numbers, indented by depth; table cells are
-aligned in columns; preformatted text keeps its white space. Not visible are head, script, style, template, noscript and
-the like, comments, elements with `hidden`, and inline styles display:none or visibility:hidden.
+aligned in columns, with spans taken into account; preformatted text keeps its white space.
+
+Not visible are head, script, style, template, noscript and the like, comments, elements with `hidden`, those that an inline
+style or a rule of a style element on a tag, class or id gives display:none, and text under visibility:hidden or collapse,
+which an element inside may lift again. Rules of the page within @media count where the query names neither print nor a
+feature.
+
+The text of a page is at most a small multiple of its html: only a page's outermost tables are padded, cells of more than
+_WIDEST characters widen no column, and a table whose padding would exceed _PADDING times its text is not aligned.
 
 Cases: null or empty html, or markup without visible text, gives the empty text; unclosed and stray tags, broken
-attributes and entities never fail; depth of nesting is not limited (tables nested more than 40 deep are rendered as
-plain blocks); repeated rows are rendered alike. Extra columns are ignored.
+attributes, numbers of any length and entities never fail; depth of nesting is not limited (tables nested more than 40 deep
+are rendered as plain blocks); a page is parsed as a whole, in memory in proportion to it; repeated rows are rendered alike;
+an empty table gives none. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
+from .vectext import pieces
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,7 +62,96 @@ SCOPES = frozenset("table td th caption html body template button".split())
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>(?:\"[^\"]{0,65536}\"|'[^']{0,65536}'|[^>\"'])*)[^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-_NO_SHOW = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_LONG_NUMBER = re.compile(r"&#(?:([xX])([0-9a-fA-F]{7,})|([0-9]{8,}));?")
+_SHOWS = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+_CSS_NOISE = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+_SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)\Z")
+_WIDEST, _PADDING = 80, 4
+
+
+def _short_number(m: re.Match) -> str:
+    digits = (m[2] or m[3]).lstrip("0")
+    return "\ufffd" if len(digits) > 7 else f"&#{m[1] or ''}{digits or '0'};"
+
+
+def unescape(text: str) -> str:
+    """Entities decoded; numbers beyond any code point are U+FFFD."""
+    if "&" not in text:
+        return text
+    return _html.unescape(_LONG_NUMBER.sub(_short_number, text) if "&#" in text else text)
+
+
+def _number(text: str, least: int, most: int, otherwise: int) -> int:
+    """A whole number of an attribute, between two bounds."""
+    text = text.strip()
+    if not (text.isascii() and text.isdecimal()):
+        return otherwise
+    text = text.lstrip("0") or "0"
+    return max(least, min(int(text[:9]) if len(text) < 10 else most, most))
+
+
+def _shows(style: str) -> dict[str, tuple[bool, str]]:
+    """display and visibility of a declaration list: (important, value); the last of equals counts."""
+    out: dict[str, tuple[bool, str]] = {}
+    for m in _SHOWS.finditer(style):
+        name, important = m[1].lower(), m[3] is not None
+        if m.start() and (style[m.start() - 1].isalnum() or style[m.start() - 1] == "-"):
+            continue
+        if name not in out or important or not out[name][0]:
+            out[name] = important, m[2].lower()
+    return out
+
+
+class Rules:
+    """What style elements say of display and visibility, by tag, class or id."""
+
+    def __init__(self):
+        self.by: dict[str, list[tuple[tuple, str, frozenset[str], str, str]]] = {}
+        self.n = 0
+
+    def read(self, css: str) -> None:
+        if "display" not in css and "visibility" not in css:
+            return
+        css, at, skip = _CSS_NOISE.sub(" ", css), 0, 0
+        for m in re.finditer(r"[{}]", css):
+            head = css[at : m.start()].rsplit(";", 1)[-1].strip()
+            if m[0] == "{":
+                if skip or (head.startswith("@") and not self._applies(head)):
+                    skip += 1
+                elif not head.startswith("@"):
+                    end = css.find("}", m.end())
+                    self._rule(head, css[m.end() : end if end >= 0 else len(css)])
+            elif skip:
+                skip -= 1
+            at = m.end()
+
+    @staticmethod
+    def _applies(head: str) -> bool:
+        return head.lower().startswith(("@media", "@layer")) and not re.search(r"print|\(|speech|not\b", head, re.I)
+
+    def _rule(self, head: str, body: str) -> None:
+        shows = _shows(body)
+        for selector in head.split(",") if shows else ():
+            m = _SELECTOR.match(selector.strip())
+            if not m or not m[0]:
+                continue
+            tag, rest = (m[1] or "*").lower(), frozenset(re.findall(r"[.#][\w-]+", m[2]))
+            key = min(rest) if rest else tag
+            for name, (important, value) in shows.items():
+                self.n += 1
+                rank = (important, sum(x[0] == "#" for x in rest), sum(x[0] == "." for x in rest), tag != "*", self.n)
+                self.by.setdefault(key, []).append((rank, tag, rest, name, value))
+
+    def of(self, node: Node, attrs: dict[str, str]) -> dict[str, tuple[tuple, str]]:
+        marks = {f".{c}" for c in attrs.get("class", "").split()}
+        if attrs.get("id"):
+            marks.add(f"#{attrs['id']}")
+        out: dict[str, tuple[tuple, str]] = {}
+        for key in (*marks, node.tag, "*"):
+            for rank, tag, rest, name, value in self.by.get(key, ()):
+                if tag in ("*", node.tag) and rest <= marks and (name not in out or rank > out[name][0]):
+                    out[name] = rank, value
+        return out
 
 
 class Node:
@@ -63,18 +161,54 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
     def attributes(self) -> dict[str, str]:
-        return {m[1].lower(): _html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(self.attrs)}
-
-    def hidden(self) -> bool:
-        if self.tag in UNSEEN:
-            return True
-        if not self.attrs or self.attrs.isspace():
-            return False
-        low = self.attrs.lower()
-        if "hidden" not in low and "none" not in low:
-            return False
-        a = self.attributes()
-        return "hidden" in a or bool(_NO_SHOW.search(a.get("style", ""))) or (self.tag == "input" and a.get("type", "").lower() == "hidden")
+        return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(self.attrs)}
+
+
+def _style(node: Node, rules: Rules) -> tuple[bool, str]:
+    """Whether an element is displayed, and its own visibility or nothing."""
+    if node.tag in UNSEEN:
+        return False, ""
+    bare = not node.attrs or node.attrs.isspace()
+    if bare and not rules.n:
+        return True, ""
+    a = {} if bare else node.attributes()
+    if "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
+        return False, ""
+    said = {name: (rank[0], value) for name, (rank, value) in rules.of(node, a).items()} if rules.n else {}
+    for name, (important, value) in _shows(a.get("style", "")).items():
+        if important or not said.get(name, (False, ""))[0]:
+            said[name] = important, value
+    return said.get("display", (False, ""))[1] != "none", said.get("visibility", (False, ""))[1]
+
+
+def prune(root: Node) -> Node:
+    """Only what is visible: elements not displayed go with all in them, of invisible ones the text goes."""
+    rules, todo = Rules(), [root]
+    while todo:
+        x = todo.pop()
+        for y in x.children:
+            if isinstance(y, Node):
+                todo.append(y)
+                if y.tag == "style":
+                    rules.read("".join(z for z in y.children if isinstance(z, str)))
+    walk = [(root, True)]
+    while walk:
+        x, shown = walk.pop()
+        kept: list = []
+        for y in x.children:
+            if isinstance(y, str):
+                if shown:
+                    kept.append(y)
+                continue
+            displayed, visibility = _style(y, rules)
+            if not displayed:
+                continue
+            seen = shown if visibility in ("", "inherit", "unset") else visibility not in ("hidden", "collapse")
+            if seen or y.tag not in ("img", "input", "hr"):
+                kept.append(y)
+                walk.append((y, seen))
+        x.children = kept
+    return root
 
 
 def build(source: str) -> Node:
@@ -84,10 +218,10 @@ def build(source: str) -> Node:
     while at < n:
         m = _TAG.search(source, at)
         if m is None:
-            stack[-1].children.append(_html.unescape(source[at:]))
+            stack[-1].children.append(unescape(source[at:]))
             break
         if m.start() > at:
-            stack[-1].children.append(_html.unescape(source[at : m.start()]))
+            stack[-1].children.append(unescape(source[at : m.start()]))
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
@@ -108,7 +242,7 @@ def build(source: str) -> Node:
         if tag in RAW:
             end = re.compile(f"</{tag}(?=[\\s/>])[^>]*>?", re.I).search(source, at)
             text = source[at : end.start() if end else n]
-            node.children.append(_html.unescape(text) if tag == "textarea" else text)
+            node.children.append(unescape(text) if tag == "textarea" else text)
             at = end.end() if end else n
             continue
         stack.push(node)
@@ -216,7 +350,7 @@ def _parts(table: Node) -> tuple[list[Node | str], list[Node]]:
     around, todo = set(), [(x, ()) for x in table.children]
     while todo:
         x, path = todo.pop()
-        if isinstance(x, str) or x.tag == "table" or x.hidden():
+        if isinstance(x, str) or x.tag == "table":
             continue
         if x.tag == "tr":
             while path and id(path[0]) not in around:
@@ -229,13 +363,12 @@ def _parts(table: Node) -> tuple[list[Node | str], list[Node]]:
         x = todo.pop()
         if isinstance(x, str):
             stray.append(x)
-        elif not x.hidden():
-            if x.tag == "tr":
-                rows.append(x)
-            elif x.tag in ("tbody", "thead", "tfoot", "colgroup") or id(x) in around:
-                todo.extend(reversed(x.children))
-            else:
-                stray.append(x)
+        elif x.tag == "tr":
+            rows.append(x)
+        elif x.tag in ("tbody", "thead", "tfoot", "colgroup") or id(x) in around:
+            todo.extend(reversed(x.children))
+        else:
+            stray.append(x)
     return stray, rows
 
 
@@ -258,23 +391,48 @@ def _table(page: _Page, table: Node, depth: int) -> None:
                 page.put(line)
     page.flush()
     grid, rest = [], []
-    for row in rows:
-        cells = []
+    until: dict[int, int] = {}  # the row up to which a cell above reaches down into a column
+    for i, row in enumerate(rows):
+        cells, c = [], 0
         for x in row.children:
             if isinstance(x, Node) and x.tag in ("td", "th"):
-                if not x.hidden():
-                    span = x.attributes().get("colspan", "1") if x.attrs else "1"
-                    cells.append(" ".join(line.strip() for line in render(x, depth + 1) if line))
-                    cells += [""] * (min(int(span), 1000) - 1 if span.isdecimal() and span.isascii() else 0)
+                a = x.attributes() if x.attrs else {}
+                while until.get(c, 0) > i:
+                    c += 1
+                cells.append((c, " ".join(line.strip() for line in render(x, depth + 1) if line)))
+                span, down = (_number(a.get(n, "1"), 0, 1000, 1) for n in ("colspan", "rowspan"))
+                if down != 1:
+                    until.update(dict.fromkeys(range(c, c + max(1, span)), len(rows) if down == 0 else i + down))
+                c += max(1, span)
             elif isinstance(x, str):
                 rest.append(x)
-            elif not x.hidden():
+            else:
                 rest.extend(_alone(x, depth))
         grid.append(cells)
-    width = [max(len(r[c]) if c < len(r) else 0 for r in grid) for c in range(max(map(len, grid), default=0))]
-    for r in grid:
-        if any(r):
-            page.put("  ".join(cell.ljust(width[c]) for c, cell in enumerate(r)))
+    width: dict[int, int] = {}
+    for cells in grid:
+        for c, text in cells:
+            if len(text) <= _WIDEST:
+                width[c] = max(width.get(c, 0), len(text))
+    columns = sorted(width)
+    place, at = {}, 0
+    for c in columns:  # columns without text take no room
+        place[c] = at
+        at += width[c] + 2 if width[c] else 0
+    size = sum(len(text) + 2 for cells in grid for _, text in cells)
+    padded = sum(place.get(cells[-1][0], 0) for cells in grid if cells)
+    aligned = depth == 0 and padded <= _PADDING * size + 1000
+    for cells in grid:
+        if any(text for _, text in cells):
+            if aligned:
+                line = ""
+                for c, text in cells:
+                    if text:
+                        gap = place.get(c, 0) - len(line)
+                        line += " " * max(gap, 2 if line else 0) + text
+                page.put(line)
+            else:
+                page.put("  ".join(text for _, text in cells if text))
     for x in rest:
         page.inline(x + " ")
     page.flush()
@@ -303,8 +461,6 @@ def render(root: Node, depth: int = 0) -> list[str]:
         if callable(x):
             pre += x() or 0
             continue
-        if x.hidden():
-            continue
         tag = x.tag
         if tag == "br":
             page.flush(always=True)
@@ -328,7 +484,7 @@ def render(root: Node, depth: int = 0) -> list[str]:
             delta = 0
             if tag in ("ul", "ol", "menu", "dir"):
                 start = x.attributes().get("start", "") if tag == "ol" and x.attrs else ""
-                lists.append([tag, int(start) if start.isdecimal() and start.isascii() and len(start) < 10 else 1])
+                lists.append([tag, _number(start, 0, 10**9, 1)])
                 if len(lists) > 1:
                     page.indent, page.mark = page.indent + " " * len(page.mark), ""
             elif tag == "li":
@@ -363,13 +519,13 @@ def render(root: Node, depth: int = 0) -> list[str]:
 
 
 def text_of(source: str | None) -> str:
-    return "\n".join(render(build(source.replace("\x00", "�")))).strip("\n") if source else ""
+    return "\n".join(render(prune(build(source.replace("\x00", "�"))))).strip("\n") if source else ""
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in batches:
-        texts = [text_of(x) for x in t.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([t.column(0), pa.array(texts, pa.string())], ["page_id", "text"])
+    for part, _, _ in pieces(batches, "html"):
+        texts = [text_of(x) for x in part.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["page_id", "text"])
 
 
 def html_text(pages: DataFrame) -> DataFrame:

@@ -355,6 +355,80 @@ def test_html_tables_and_formulas_lose_no_text():
     assert text_of("<svg><title>t</title><style/><defs/><path d='M0'/><text>A</text><text>B</text></svg>end") == "A Bend"
 
 
+def test_html_numbers_spans_and_visibility():
+    assert text_of(f"<table><tr><td colspan='{'9' * 5000}' rowspan=-1>x<ol start={'1' * 9000}><li>y") == "x 1000000000. y"
+    assert text_of(f"&#{'1' * 5000};a&#x{'f' * 5000};b&#{'0' * 5000}65;&#00000066;&#x0000043;") == "\ufffda\ufffdbABC"
+    assert text_of("<table><tr><td rowspan=2>aa<td>b<tr><td>c<tr><td>d<td>e<tr><td colspan=2>ff<td>g<tr><td rowspan=0>h<td>i<tr><td>j</table>") == "aa  b\n    c\nd   e\nff     g\nh   i\n    j"
+    assert text_of("<div style='visibility:hidden'>no <b style='Visibility: visible'>yes</b> <img alt=no><input value=no>no</div>") == "yes"
+    css = "<style>/* .ok{display:none} */ .ad, #x{display:none} p.q{visibility:hidden} @media print{.ok{display:none}} @media screen{.s{display:none}} .show{display:block!important} a b{display:none}</style>"
+    assert text_of(css + "<p class='big ad'>no<p id=x>no<p class=q>no<p class=ok>ok<p class=s>no<p class='ad show'>shown<p class=ad style='display:block'>inline<a><b>kept") == "ok\n\nshown\n\ninlinekept"
+
+
+def test_html_text_is_bounded():
+    one = "<table>" + "<tr><td>a<td>b" * 3000 + "<tr><td>" + "x" * 20_000 + "</table>"
+    wide = "<table><tr>" + f"<td>{'y' * 60}" * 999 + "<tr><td colspan=999><td>x" * 4000 + "</table>"
+    tall = "<table><tr><td colspan=1000 rowspan=1000>q" + "<tr><td>x" * 10_000 + "</table>"
+    deep = "<table><tr><td>a<td>b" * 300
+    for h in (one, wide, tall, deep):
+        out = text_of(h)
+        assert len(out) <= 2 * len(h) and Counter(out.replace(" ", "").replace("\n", "")) == Counter(re.sub("<[^>]*>", "", h))
+
+
+def tokens_in_order(source):
+    """All visible text by another parser: the standard library's, over generated pages whose tags are closed."""
+    from html.parser import HTMLParser
+
+    class P(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.gone, self.vis, self.out = 0, [True], []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("br", "img"):
+                return
+            a = dict(attrs)
+            style = a.get("style") or ""
+            self.gone += bool(self.gone or tag in ("script", "style", "template") or "hidden" in a or "display:none" in style)
+            self.vis.append("visible" in style or (self.vis[-1] and "visibility:hidden" not in style))
+
+        def handle_endtag(self, tag):
+            self.gone -= bool(self.gone)
+            self.vis.pop()
+
+        def handle_data(self, data):
+            if not self.gone and self.vis[-1]:
+                self.out += data.split()
+
+    p = P()
+    p.feed(source)
+    p.close()
+    return p.out
+
+
+def test_html_all_visible_text_against_another_parser():
+    rng = random.Random(12)
+    count = [0]
+
+    def page(depth):
+        count[0] += 1
+        word = f"w{count[0]}"
+        if depth == 0:
+            return rng.choice((word, f"{word} &amp; x", f"{word}&lt;{word}"))
+        inner = lambda: " ".join(page(depth - 1) for _ in range(rng.randint(1, 3)))
+        style = rng.choice(("",) * 6 + (" hidden", " style='display:none'", " style='visibility:hidden'", " style='visibility:visible'", " class=a"))
+        tag = rng.choice("div section b i span h2 blockquote ul table pre script template".split())
+        if tag == "ul":
+            return f"<ul{style}>" + "".join(f"<li>{inner()}</li>" for _ in range(2)) + "</ul>"
+        if tag == "table":
+            return f"<table{style}>" + "".join("<tr>" + "".join(f"<td rowspan={rng.randint(1, 3)} colspan={rng.randint(1, 3)}>{inner()}</td>" for _ in range(2)) + "</tr>" for _ in range(2)) + "</table>"
+        return f"<{tag}{style}>{word if tag == 'script' else inner()}</{tag}>"
+
+    for _ in range(300):
+        h = " ".join(page(rng.randint(0, 4)) for _ in range(3))
+        got = [t for t in text_of(h).split() if t != "-"]
+        assert got == tokens_in_order(h), h
+
+
 def test_html_never_fails(spark):
     rng = random.Random(5)
     parts = ["<div>", "</div>", "<p", ">", "<table>", "<tr>", "<td>", "</td>", "text", "<li>", "</ul>", "<!--", "-->", "&amp", "<a href='", '"', "<![CDATA[", "]]>", "<script>", "</script>", "<pre>", "\n", "<br/>", "<"]
