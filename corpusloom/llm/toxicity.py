@@ -1,16 +1,17 @@
 """Toxicity scores by a linear classifier whose training penalises score changes under identity-term swaps.
 
-Features of a text are the presence of its words and of their first 4 and 6 bytes, hashed. Identity terms have one
-feature each and no prefixes. For every identity term in a labelled text a counterfactual puts another term of the list,
-or a neutral word, in its place; the squared change of the score is part of the loss, so that a mere mention of a group
-moves no score.
+Features of a text are the presence of its words and of their first 4 and 6 bytes, hashed. Words are what stands between
+white space and punctuation, A-Z lowered, so that "women," and "women's" mention women as "women" does. Identity terms and
+their plurals have one feature each and no prefixes. For every identity term in a labelled text a counterfactual puts
+another term of the list, or a neutral word, in its place; the squared change of the log odds is part of the loss. As a
+change of the score is at most a quarter of that of its log odds, a mere mention of a group moves no score.
 
 The classifier is fitted on at most `sample` labelled rows (smallest hash of doc_id first); every text is scored whole.
 
 Cases: null labels and null doc_ids teach nothing, several labels of one doc_id count as toxic if any is; without
 training rows of both classes every score is their share of toxic rows (0 without rows); a null or empty text gets the
-score of no feature; repeated rows are scored alike. Extra columns are ignored and labels, lang, source and doc_id are
-never features.
+score of no feature; a very long text is read in slices of words; repeated rows are scored alike. Extra columns are ignored
+and labels, lang, source and doc_id are never features.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_bucket, saved, ship
-from .vectext import _BYTE, U, Words, _power, mix, pieces
+from .vectext import U, Words, mix, pieces, span_hashes
 
 # Words that name groups of people, in four languages.
 IDENTITY_TERMS = (
@@ -43,34 +44,74 @@ def _slot(h: np.ndarray, salt: int) -> np.ndarray:
     return (mix(h + U(salt)) >> U(64 - _BITS)).astype(np.int64)
 
 
-def _word_hash(word: str) -> np.uint64:
-    b = np.frombuffer(word.encode(), np.uint8)
-    return mix(np.array([np.sum(_BYTE[b] * _power(len(b))[0][: len(b)], dtype=U)], U))[0]
-
-
 def _identity() -> np.ndarray:
-    return np.sort(np.array([_word_hash(t) for t in IDENTITY_TERMS], U))
-
-
-def features(w: Words, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, feature) of every occurrence; features 0..len(group)-1 are the identity terms, hashed slots follow."""
+    """Hashes of the identity terms and of their plurals in s."""
+    words = sorted({t.encode() for t in IDENTITY_TERMS} | {t.encode() + b"s" for t in IDENTITY_TERMS if not t.endswith("s")})
+    ends = np.cumsum([len(w) for w in words])
+    return np.sort(span_hashes(np.frombuffer(b"".join(words), np.uint8), np.append(0, ends[:-1]), ends))
+
+
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+_INSIDE = np.zeros(256, bool)
+_INSIDE[list(b"*@$!#")] = True  # letters are written with these
+_SLICE = 1 << 18
+
+
+def spoken(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The bytes with punctuation as spaces, but for *@$!# between other characters."""
+    out = data.copy()
+    for a in range(0, len(data), 1 << 20):
+        lo, hi = max(0, a - 3), min(len(data), a + (1 << 20) + 3)
+        d = data[lo:hi]
+        gap = _PUNCTUATION[d]
+        # U+2010 to U+203F, and the marks of Latin-1 that stand at words
+        wide = np.flatnonzero((d[:-2] == 0xE2) & (d[1:-1] == 0x80) & (d[2:] >= 0x90)) if len(d) > 2 else np.empty(0, np.int64)
+        for k in range(3):
+            gap[wide + k] = True
+        marks = np.flatnonzero((d[:-1] == 0xC2) & np.isin(d[1:], (0xA1, 0xAB, 0xB7, 0xBB, 0xBF)))
+        gap[marks] = gap[marks + 1] = True
+        plain, inside = ~gap & (d > 0x20), _INSIDE[d]
+        inside[0] = inside[-1] = False
+        inside[1:-1] &= plain[:-2] & plain[2:]
+        edge = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi)] - lo
+        inside[edge] = inside[edge[edge > 0] - 1] = False
+        gap &= ~inside
+        own = slice(a - lo, min(len(d), a - lo + (1 << 20)))
+        out[a : a + (1 << 20)][gap[own]] = 0x20
+    return out
+
+
+def features(data: np.ndarray, offsets: np.ndarray, group: np.ndarray, live: np.ndarray | None = None) -> np.ndarray:
+    """Sorted distinct document << 24 | feature; features 0..len(group)-1 are the identity terms, hashed slots follow.
+
+    live: features to give, the others are left out.
+    """
+    w = Words(spoken(data, offsets), offsets, hashes=False)
     doc = np.repeat(np.arange(len(w.doc) - 1), np.diff(w.doc))
-    at = np.minimum(np.searchsorted(group, w.hash), len(group) - 1)
-    is_group = group[at] == w.hash
-    docs, feats = [doc], [np.where(is_group, at, len(group) + _slot(w.hash, 0))]
-    for k in _PREFIXES:
-        long, h = w.prefix(k)
-        long_ok = ~is_group[long]
-        docs.append(doc[long[long_ok]])
-        feats.append(len(group) + _slot(h[long_ok], k))
-    return np.concatenate(docs), np.concatenate(feats)
+    out = []
+    for a in range(0, len(doc), _SLICE):
+        d, s, e = doc[a : a + _SLICE], w.start[a : a + _SLICE], w.end[a : a + _SLICE]
+        h = span_hashes(w.data, s, e)
+        at = np.minimum(np.searchsorted(group, h), len(group) - 1)
+        is_group = group[at] == h
+        docs, feats = [d], [np.where(is_group, at, len(group) + _slot(h, 0))]
+        for k in _PREFIXES:
+            long = np.flatnonzero((e - s > k) & ~is_group)
+            docs.append(d[long])
+            feats.append(len(group) + _slot(span_hashes(w.data, s[long], s[long] + k), k))
+        docs, feats = np.concatenate(docs), np.concatenate(feats)
+        if live is not None:
+            keep = np.flatnonzero(live[feats])
+            docs, feats = docs[keep], feats[keep]
+        out.append(np.unique((docs << 24) | feats))
+    return np.unique(np.concatenate(out)) if len(out) > 1 else out[0] if out else np.empty(0, np.int64)
 
 
 def _extract(group: np.ndarray):
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in pieces(batches):
-            doc, feat = features(Words(data, offsets), group)
-            key = np.unique((doc << 24) | feat)
+            key = features(data, offsets, group)
             cut = np.searchsorted(key, np.arange(part.num_rows + 1) << 24)
             out = [(key[a:b] & 0xFFFFFF).astype(np.int32).tobytes() for a, b in zip(cut, cut[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())], ["order", "toxic", "feats"])
@@ -134,10 +175,10 @@ def fit(rows: list[np.ndarray], y: np.ndarray, n_features: int, n_group: int, *,
 
 
 def _score_of(group: np.ndarray, weight: np.ndarray, bias: float):
+    live = weight != 0
+
     def score(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        doc, feat = features(Words(data, offsets), group)
-        live = np.flatnonzero(weight[feat])
-        key = np.unique((doc[live] << 24) | feat[live])
+        key = features(data, offsets, group, live)
         z = np.bincount(key >> 24, weight[key & 0xFFFFFF].astype(np.float64), len(offsets) - 1) + bias
         return 1 / (1 + np.exp(-z))
 
@@ -179,8 +220,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, max_featu
         z = F.abs(odds) / F.sqrt(1 / a + 1 / b)
         best = counts.where(f"pos + neg >= 2 and feat >= {len(group)}").withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "feat").limit(max_features).select("feat").collect()
         keep = np.concatenate((np.arange(len(group)), np.sort(np.array([r["feat"] for r in best], np.int64))))
-        rows = feats.mapInArrow(_choose(keep.astype(np.int32)), feats.schema).orderBy("order").limit(sample).collect()
-        w, bias = fit([np.frombuffer(r["feats"], np.int32) for r in rows], np.array([r["toxic"] for r in rows], float), len(keep), len(group))
+        rows = feats.mapInArrow(_choose(keep.astype(np.int32)), feats.schema).orderBy("order").limit(sample).toArrow()
+        w, bias = fit([np.frombuffer(x.as_buffer(), np.int32) for x in rows.column("feats")], rows.column("toxic").to_numpy().astype(float), len(keep), len(group))
         weight[keep] = w
     else:
         bias = 40.0 if n and pos == n else -40.0

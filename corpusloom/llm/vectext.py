@@ -32,12 +32,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=U) * _R)
+_SEGMENT = 1 << 20
 _powers = {"n": 0, "up": np.empty(0, U), "down": np.empty(0, U)}
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _powers["n"] < n:
-        size = max(n, 1 << 20)
+        size = max(n, _SEGMENT)
         for name, base in (("up", _R), ("down", _R_INV)):
             p = np.full(size, base, U)
             p[0] = 1
@@ -46,6 +47,23 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span (sorted, not empty), wherever it stands; memory for a segment at a time."""
+    out = np.empty(len(start), U)
+    at = 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + _SEGMENT, side="right")))
+        base = start[at]
+        up, down = _power(int(end[to - 1] - base))
+        value = _BYTE[data[base : end[to - 1]]]
+        value *= up[: len(value)]
+        total = np.cumsum(value, dtype=U)
+        s, e = start[at:to] - base, end[at:to] - base
+        out[at:to] = mix((total[e - 1] - total[s] + value[s]) * down[s])
+        at = to
+    return out
+
+
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a text or binary array; nulls are empty."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")
@@ -55,35 +73,30 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of consecutive documents: hash, start and end of each; doc[i]:doc[i+1] are those of document i."""
+    """Words of consecutive documents: hash, start and end of each; doc[i]:doc[i+1] are those of document i.
+
+    Beside the text itself this takes 24 bytes a word; all else is held for a segment at a time (a longer word alone).
+    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, hashes: bool = True, lower: bool = True):
-        n = len(data)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, hashes: bool = True):
         self.data = data = _LOWER[data] if lower else data
-        self.offsets = offsets
-        word = _IS_WORD[data]
-        first = np.zeros(n + 1, bool)
-        first[offsets] = True
-        first = first[:n]
-        start = word.copy()
-        start[1:] &= ~word[:-1] | first[1:]
-        end = word.copy()
-        end[:-1] &= ~word[1:] | first[1:]
-        self.start = np.flatnonzero(start)
-        self.end = np.flatnonzero(end) + 1
+        starts, ends = [], []
+        for a in range(0, len(data), _SEGMENT):
+            # one byte more on each side; documents begin and end words too
+            lo, hi = max(0, a - 1), min(len(data), a + _SEGMENT + 1)
+            word = _IS_WORD[data[lo:hi]]
+            begins = np.zeros(hi - lo + 1, bool)
+            begins[offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi, side="right")] - lo] = True
+            start, end = word.copy(), word.copy()
+            start[1:] &= ~word[:-1] | begins[1 : len(word)]
+            end[:-1] &= ~word[1:] | begins[1 : len(word)]
+            own = slice(a - lo, a - lo + min(_SEGMENT, len(data) - a))
+            starts.append(np.flatnonzero(start[own]) + a)
+            ends.append(np.flatnonzero(end[own]) + a + 1)
+        self.start, self.end = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (starts, ends))
         self.doc = np.searchsorted(self.start, offsets)
         if hashes:
-            up, down = _power(n)
-            value = _BYTE[data]
-            value *= up[:n]
-            total = np.cumsum(value, dtype=U)
-            self._total, self._before, self._down = total, total[self.start] - value[self.start], down[self.start]
-            self.hash = mix((total[self.end - 1] - self._before) * self._down)
-
-    def prefix(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which words have more than k bytes, and the hashes of their first k."""
-        long = np.flatnonzero(self.end - self.start > k)
-        return long, mix((self._total[self.start[long] + k - 1] - self._before[long]) * self._down[long])
+            self.hash = span_hashes(data, self.start, self.end)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

@@ -476,6 +476,83 @@ def test_toxicity_held_out_and_identity(spark):
     assert kept == {r.doc_id for r in got if not r.predicted}
 
 
+def test_toxicity_identity_in_prose(spark):
+    """Terms with punctuation, possessives, plurals and hyphens are mentions as well; toxic words keep their weight."""
+    rng = random.Random(3)
+    rows, labels = toxic_rows(rng)
+    rows = [(i, t.replace("women", rng.choice(("women,", "women.", "(women)", "«women»", "Asian-American", "lesbians'")))) for i, t in rows]
+    probes = ["meet here", "women, meet here", "women meet here", "women. meet here", "women's meet here", "Women! meet here", "asian-american meet here", "lesbians meet here", "“women” meet here"]
+    df = docs(spark, rows + [(10_000 + k, t) for k, t in enumerate(probes)] + [(20_000, "scum! meet here"), (20_001, "you idiot, meet"), (20_002, "!!! -- …"), (20_003, "")])
+    by = {r.doc_id: r.score for r in toxicity.toxicity(df, spark.createDataFrame(labels, "doc_id long, toxic int, quality int")).collect()}
+    assert all(abs(by[10_000 + k] - by[10_000]) < 0.05 for k in range(len(probes))), [by[10_000 + k] for k in range(len(probes))]
+    assert by[20_000] > 0.7 and by[20_001] > 0.7 and by[20_002] == by[20_003]
+
+
+def brute_features(text):
+    """Words and their prefixes by regular expressions."""
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    text = re.sub("[\u2010-\u203f¡«·»¿]", " ", text)
+    inside = "[^\\x00-\\x20\\x21-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7e]"
+    words = re.findall(f"(?:{inside}|(?<={inside})[*@$!#](?={inside}))+", text)
+    return {(0, w) for w in words} | {(k, w.encode()[:k]) for w in words for k in (4, 6) if len(w.encode()) > k}
+
+
+def test_toxicity_features_equal_brute_force(monkeypatch):
+    rng = random.Random(9)
+    parts = ["Sh!t", "f*ck", "don't", "a", "é", "«", "»", "—", "“x”", "...", "!", "#", " ", "  ", "\n", "longerword", "ééééé", "-", "1", "日本語テキスト", "ñandú¿"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw])
+    group = toxicity._identity()
+    key = toxicity.features(data, offsets, group)
+    monkeypatch.setattr(toxicity, "_SLICE", 7)
+    assert (toxicity.features(data, offsets, group) == key).all()
+    by = np.split(key & 0xFFFFFF, np.searchsorted(key, np.arange(1, len(raw)) << 24))
+    seen: dict = {}
+    for t, feats in zip(texts, by, strict=True):
+        want = brute_features(t)
+        assert len(feats) == len(want), (t, want)  # a slot shared by chance would show here
+        alone = toxicity.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), group)
+        assert (alone == feats).all()
+        for w in want:
+            seen.setdefault(w, set(feats)).intersection_update(feats)
+    assert all(seen.values())
+
+
+def test_toxicity_fit_reaches_the_minimum():
+    """The gradient steps against a brute-force minimum of the same loss on a few rows."""
+    rows, y = [np.array(r) for r in ([0, 3], [3], [1, 4], [4], [0, 4], [3, 4])], np.array([1.0, 1, 0, 0, 1, 0])
+    w, b = toxicity.fit(rows, y, 5, 2, ridge=0.05, swap=0.5, steps=4000, rate=0.01)
+
+    def loss(x):
+        total = 0.025 * float((x[:5] ** 2).sum())
+        for r, t in zip(rows, y, strict=True):
+            z = x[r].sum() + x[5]
+            total += (math.log1p(math.exp(-z)) if t else math.log1p(math.exp(z))) / 6
+            for term in r[r < 2]:
+                total += 0.5 / 6 * ((x[term] - x[1 - term]) ** 2 + x[term] ** 2)
+        return total
+
+    x, step = np.append(w, b), 1.0
+    best = x.copy()
+    while step > 1e-4:  # coordinate search from the found place and from zero
+        for start in (best, np.zeros(6)):
+            v = start.copy()
+            moved = True
+            while moved:
+                moved = False
+                for i in range(6):
+                    for d in (step, -step):
+                        t = v.copy()
+                        t[i] += d
+                        if loss(t) < loss(v) - 1e-12:
+                            v, moved = t, True
+            if loss(v) < loss(best):
+                best = v
+        step /= 4
+    assert loss(x) <= loss(best) + 1e-3 and np.abs(x - best).max() < 0.1
+
+
 def test_swap_penalty_flattens_identity_weights():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 400).astype(float)
