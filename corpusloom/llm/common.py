@@ -31,34 +31,57 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A temporary one only on a local master (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = known.get() if known.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corpusloom-scratch-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def saved(df: DataFrame, tag: str, partition: str = "") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, and what was computed survives a lost executor."""
     path = f"{scratch(df.sparkSession)}/corpusloom/{tag}-{uuid.uuid4().hex}"
+    _written.append(path)
     (df.write.partitionBy(partition) if partition else df.write).option("compression", "zstd").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._corpusloom_path = path  # type: ignore[attr-defined]
     return back
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _written:
+        _written.remove(path)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables written by saved() that no later plan reads."""
     for df in tables:
         path = getattr(df, "_corpusloom_path", None)
         if path:
-            sc = df.sparkSession.sparkContext
-            p = sc._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete what saved() wrote, from the since-th table still there on, but for `keep`. An operator's result reads some
+    of its tables, so this is for when the result has been consumed."""
+    for path in _written[since:]:
+        if path != getattr(keep, "_corpusloom_path", None):
+            _delete(spark, path)
+
+
+def n_written() -> int:
+    return len(_written)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -3,15 +3,17 @@
 A sequence of pieces is the encoding of a text exactly if every two neighbours are what the merges make of the two
 together. Over the semiring (max, +) with weights 0 for neighbours that fit and minus infinity for others, the encoding is
 the only path of finite weight through the lattice of pieces. So a chunk has a transfer matrix between boundary states
-(where the last piece before the boundary ends, and which it is); matrices are combined associatively from both sides,
-which leaves one state for each boundary, and then every chunk is traced back by itself. Short texts are one chunk; there
-the path is followed from word to word, and words are remembered in a cache of bounded size.
+(where the last piece before the boundary ends, and which it is). The matrices of `fan` neighbouring chunks are multiplied
+in one task each, the products of a text are scanned for the states at the blocks' boundaries, and these fix the states
+inside each block; then every chunk is traced back by itself. Short texts are one chunk; there the path is followed from
+word to word, and words are remembered in a cache of bounded size.
 
 The result is that of the sentencepiece library with the same model: a space in front, spaces as U+2581, characters
 outside the vocabulary as bytes.
 
 Cases: a null or empty text has no ids and decodes to the empty text; U+2581 in a text decodes to a space; repeated rows
-are encoded alike; any length that a Spark string has is handled, in chunks. Extra columns are ignored.
+are encoded alike; any length that a Spark string has is handled, in chunks, of which only the last step, the row of the
+result, brings a text together; empty tables give none. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -198,12 +200,17 @@ class Codec:
             out.extend(map(self.spaced.__getitem__, words))
         return b"".join(out)
 
+    def decoded(self, ids: np.ndarray, most: int = 1 << 16) -> Iterator[bytes]:
+        """UTF-8 of a sequence of ids, without the space in front, `most` ids at a time."""
+        for a in range(0, len(ids), most):
+            some = ids[a : a + most]
+            length = self.length[some]
+            at = np.repeat(self.begin[some] - np.append(0, np.cumsum(length))[:-1], length) + np.arange(length.sum())
+            out = self.bytes[at].tobytes()
+            yield out[1:] if a == 0 and out[:1] == b" " else out
+
     def decode(self, ids: np.ndarray) -> bytes:
-        """UTF-8 of a sequence of ids, without the space in front."""
-        length = self.length[ids]
-        at = np.repeat(self.begin[ids] - np.append(0, np.cumsum(length))[:-1], length) + np.arange(length.sum())
-        out = self.bytes[at].tobytes()
-        return out[1:] if out[:1] == b" " else out
+        return b"".join(self.decoded(ids))
 
 
 def _is_cut(s: str, i: int) -> bool:
@@ -275,12 +282,12 @@ def compose(a: list, b: list) -> list:
     return list({(x, z) for x, y in a for z in by.get(y, ())})
 
 
-def boundary_states(matrices: list[list]) -> list[tuple[int, int]]:
-    """The state at every boundary, first and last included: those reached from the left and leading to the end."""
-    left = [{(0, FREE)}]
+def boundary_states(matrices: list[list], first: tuple[int, int] = (0, FREE), last: tuple[int, int] = (0, FREE)) -> list[tuple[int, int]]:
+    """The state at every boundary from first to last: those reached from the left and leading to the end."""
+    left = [{first}]
     for m in matrices:
         left.append({y for x, y in m if x in left[-1]})
-    right = [{(0, FREE)} & left[-1]]
+    right = [{last} & left[-1]]
     for m in reversed(matrices):
         right.append({x for x, y in m if y in right[-1]})
     both = [a & b for a, b in zip(left, reversed(right), strict=True)]
@@ -311,17 +318,27 @@ def traced(c: Codec, context: str, chunk: str, entry: tuple[int, int], leave: tu
 
 
 def _digest(codec: Codec, text: str, ids: bytes) -> tuple:
-    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), codec.decode(np.frombuffer(ids, np.int32)) == text.encode("utf-8", "surrogatepass")
+    """Number of ids, their digest, and whether they decode to the text."""
+    raw, at, same = text.encode("utf-8", "surrogatepass"), 0, True
+    for part in codec.decoded(np.frombuffer(ids, np.int32)):
+        same = same and raw.startswith(part, at)
+        at += len(part)
+    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), same and at == len(raw)
+
 
+def _lists(ids: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0] + [len(x) // 4 for x in ids])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
-def _short(model: bytes, keep_ids: bool):
+
+def _short(model: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
         for part, _, _ in slices(batches):
             texts = [t or "" for t in part.column(1).to_pylist()]
             ids = [codec.encode(t) for t in texts]
             n, sha, same = zip(*[_digest(codec, t, i) for t, i in zip(texts, ids, strict=True)], strict=True)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sha), pa.array(same), pa.array(ids if keep_ids else [None] * len(ids), pa.binary())], ["doc_id", "n_tokens", "ids_sha256", "round_trip", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sha), pa.array(same), _lists(ids)], ["doc_id", "n_tokens", "ids_sha256", "round_trip", "ids"])
 
     return run
 
@@ -355,13 +372,37 @@ def _matrices(model: bytes):
     return run
 
 
-def _scan(t: pa.Table) -> pa.Table:
-    """All boundaries of one text; it has 65,536 chunks at most, as a Spark string ends at 2 GB."""
+def _matrix(flat: pa.Scalar) -> list:
+    return [((a, b), (c, d)) for a, b, c, d in np.frombuffer(flat.as_buffer(), np.int32).reshape(-1, 4).tolist()]
+
+
+def _product(t: pa.Table) -> pa.Table:
+    """The product of the matrices of one block of chunks."""
     t = t.sort_by("idx")
-    flat = [np.frombuffer(m.as_buffer(), np.int32).reshape(-1, 4).tolist() for m in t.column("matrix")]
-    state = boundary_states([[((a, b), (c, d)) for a, b, c, d in m] for m in flat])
+    m = functools.reduce(compose, map(_matrix, t.column("matrix")))
+    flat = np.array([[*x, *y] for x, y in sorted(m)], np.int32).tobytes()
+    return pa.table({"row": t.column("row")[:1], "block": t.column("block")[:1], "matrix": pa.array([flat], pa.binary())})
+
+
+_STATES = ["in_back", "in_piece", "out_back", "out_piece"]
+
+
+def _with_states(t: pa.Table, by: list[str], state: list[tuple[int, int]]) -> pa.Table:
     cols = [pa.array([x[k] for x in s], pa.int32()) for s in (state[:-1], state[1:]) for k in (0, 1)]
-    return pa.table([t.column("row"), t.column("idx"), *cols], names=["row", "idx", "in_back", "in_piece", "out_back", "out_piece"])
+    return pa.table([*(t.column(c) for c in by), *cols], names=[*by, *_STATES])
+
+
+def _scan(t: pa.Table) -> pa.Table:
+    """The states at the boundaries of one text's blocks, of which it has 256 at most, as a Spark string ends at 2 GB."""
+    t = t.sort_by("block")
+    return _with_states(t, ["row", "block"], boundary_states([_matrix(m) for m in t.column("matrix")]))
+
+
+def _inside(t: pa.Table, ends: pa.Table) -> pa.Table:
+    """The states at the boundaries of the chunks of one block, whose own are known."""
+    t = t.sort_by("idx")
+    a, b, c, d = (ends.column(x)[0].as_py() for x in _STATES)
+    return _with_states(t, ["row", "idx"], boundary_states([_matrix(m) for m in t.column("matrix")], (a, b), (c, d)))
 
 
 def _tracer(model: bytes):
@@ -375,40 +416,45 @@ def _tracer(model: bytes):
     return run
 
 
-def _joined(model: bytes, keep_ids: bool):
+def _joined(model: bytes):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("idx")
         text, ids = "".join(t.column("chunk").to_pylist())[1:].replace(SPACE, " "), b"".join(t.column("ids").to_pylist())
         n, sha, same = _digest(_codec(model), text, ids)
-        return pa.table({"doc_id": t.column("doc_id")[:1], "n_tokens": pa.array([n], pa.int64()), "ids_sha256": pa.array([sha]), "round_trip": pa.array([same]), "ids": pa.array([ids if keep_ids else None], pa.binary())})
+        return pa.table({"doc_id": t.column("doc_id")[:1], "n_tokens": pa.array([n], pa.int64()), "ids_sha256": pa.array([sha]), "round_trip": pa.array([same]), "ids": _lists([ids])})
 
     return run
 
 
-def encode(docs: DataFrame, model_path: str, *, chunk: int = 32_768, keep_ids: bool = True) -> DataFrame:
-    """documents (doc_id, text) -> doc_id, n_tokens, ids_sha256 (of the ids as little-endian int32), round_trip, ids (the same bytes).
+def encode(docs: DataFrame, model_path: str, *, chunk: int = 32_768, fan: int = 256) -> DataFrame:
+    """documents (doc_id, text) -> doc_id, n_tokens, ids_sha256 (of the ids as little-endian int32), round_trip, ids.
 
-    round_trip tells whether decoding gives the text again. Texts of more than `chunk` characters go by chunks.
+    round_trip tells whether decoding gives the text again. Texts of more than `chunk` characters go by chunks, and by
+    blocks of `fan` chunks.
     """
     spark = docs.sparkSession
     ship(spark)
     with open(model_path, "rb") as f:
         model = f.read()
     back = 2 * _codec(model).longest
-    schema = "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean, ids binary"
+    schema = "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean, ids array<int>"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     giant = F.coalesce(F.length("text"), F.lit(0)) > chunk
-    short = docs.where(~giant).mapInArrow(_short(model, keep_ids), schema)
+    short = docs.where(~giant).mapInArrow(_short(model), schema)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = saved(docs.where(giant).mapInArrow(_cutter(chunk, back), "row long, doc_id long, idx int, context string, chunk string, after string"), "chunks")
     matrices = chunks.repartition(parts, "row", "idx").mapInArrow(_matrices(model), "row long, idx int, matrix binary")
-    states = matrices.groupBy("row").applyInArrow(_scan, "row long, idx int, in_back int, in_piece int, out_back int, out_piece int")
-    traces = chunks.join(states, ["row", "idx"]).repartition(parts, "row", "idx").mapInArrow(_tracer(model), "row long, doc_id long, idx int, chunk string, ids binary")
-    return short.unionByName(traces.groupBy("row").applyInArrow(_joined(model, keep_ids), schema))
+    matrices = saved(matrices.withColumn("block", F.floor(F.col("idx") / fan).cast("int")), "matrices")
+    products = matrices.groupBy("row", "block").applyInArrow(_product, "row long, block int, matrix binary")
+    states = "in_back int, in_piece int, out_back int, out_piece int"
+    ends = products.groupBy("row").applyInArrow(_scan, f"row long, block int, {states}")
+    at = matrices.groupBy("row", "block").cogroup(ends.groupBy("row", "block")).applyInArrow(_inside, f"row long, idx int, {states}")
+    traces = chunks.join(at, ["row", "idx"]).repartition(parts, "row", "idx").mapInArrow(_tracer(model), "row long, doc_id long, idx int, chunk string, ids binary")
+    return short.unionByName(traces.groupBy("row").applyInArrow(_joined(model), schema))
 
 
 def decode(ids: DataFrame, model_path: str) -> DataFrame:
-    """(doc_id, ids as little-endian int32) -> (doc_id, text); bytes that are no UTF-8 become U+FFFD, null ids the empty text."""
+    """(doc_id, ids) -> (doc_id, text); bytes that are no UTF-8 become U+FFFD, null ids the empty text."""
     ship(ids.sparkSession)
     with open(model_path, "rb") as f:
         model = f.read()
@@ -416,7 +462,9 @@ def decode(ids: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
         for t in batches:
-            texts = [codec.decode(np.frombuffer(x or b"", np.int32)).decode("utf-8", "replace") for x in t.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([t.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+            for k in range(t.num_rows):  # one text at a time
+                x = t.column(1)[k].values
+                raw = codec.decode(x.to_numpy(zero_copy_only=False).astype(np.int32)) if x is not None else b""
+                yield pa.RecordBatch.from_arrays([t.column(0).slice(k, 1), pa.array([raw.decode("utf-8", "replace")], pa.string())], ["doc_id", "text"])
 
-    return ids.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return ids.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")

@@ -33,7 +33,7 @@ VOCABULARY = os.environ.get("CORPUSLOOM_VOCABULARY", "/opt/tokenizers/piece_bpe_
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(read(spark, sf_dir, "documents"), VOCABULARY, keep_ids=False).drop("ids")
+    return encode(read(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Stages of the corpus pipeline: each takes (spark, docs, sf_dir) and, but for the last, returns the columns of docs.
 
-A row is known by a hash of its doc_id and text: rows equal in both are equal rows and share every decision.
+A row is known by its doc_id and a hash of doc_id and text: rows equal in both are equal rows and share every decision.
+Empty tables give empty tables; null texts and ids, repeated rows, long texts and clashing column names are handled as the
+operator of the stage says; columns other than text and n_chars come back as they were.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, row_key, ship
+from .common import read, row_key
 from .linededup import line_decided
 from .minhash import near_groups
 from .mixing import mixed_documents
@@ -44,9 +46,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows with a null doc_id go if a row of their group has one.
     """
-    drop = near_groups(docs).where("not kept").select("key").distinct()
-    once = docs.select(row_key().alias("key"), F.struct(*docs.columns).alias("row")).dropDuplicates(["key"])
-    return once.join(drop, "key", "left_anti").select("row.*")
+    drop = near_groups(docs).where("not kept").select(F.col("key").alias("at"), F.col("doc_id").alias("at_id")).distinct()
+    once = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("row")).dropDuplicates(["key", "id"])
+    return once.join(drop, (F.col("key") == F.col("at")) & F.col("id").eqNullSafe(F.col("at_id")), "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +57,5 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, number and digest of the ids, and whether they decode to the text."""
-    ship(spark)
-    return encode(docs, VOCABULARY, keep_ids=False).drop("ids")
+    """doc_id, ids, their number and digest, and whether they decode to the text, a row for each copy that the mix takes."""
+    return encode(docs, VOCABULARY)

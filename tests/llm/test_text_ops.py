@@ -254,8 +254,9 @@ def test_chunks_of_any_size_give_the_same(sp, codec):
 
 def test_encode_decode_tables(spark, sp):
     rows = [(i, t) for i, t in enumerate(texts(40, 10))] + [(90, None), (91, ""), (92, "word " * 300), (92, "word " * 300), (None, "x")]
-    out = encode(docs(spark, rows), VOCABULARY, chunk=64)
-    got = sorted((str(r.doc_id), bytes(r.ids), r.n_tokens) for r in out.collect())
+    out = encode(docs(spark, rows), VOCABULARY, chunk=64, fan=3)
+    assert all(r.round_trip == ("▁" not in (r.text or "")) for r in out.join(docs(spark, rows).select("doc_id", "text"), "doc_id").collect())
+    got = sorted((str(r.doc_id), np.array(r.ids, np.int32).tobytes(), r.n_tokens) for r in out.collect())
     assert got == sorted((str(i), ids_of(sp, t or ""), len(sp.encode(t or ""))) for i, t in rows)
     back = {r.doc_id: r.text for r in decode(out, VOCABULARY).collect()}
     assert all(back[i] == (t or "").replace("▁", " ") for i, t in rows)
