@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpusloom.llm import stages
-from corpusloom.llm.common import read, saved
+from corpusloom.llm.common import forget, n_written, read, release, saved
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", stages.drop_toxic),
@@ -23,9 +22,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the table documents; what earlier stages wrote is deleted as soon as the next is done."""
     docs = read(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = saved(docs, name)
-    return docs.select(*[F.col(c) for c in docs.columns])
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        since = n_written()
+        after = saved(stage(spark, docs, sf_dir), name)
+        release(spark, since, keep=after)
+        if k:
+            forget(docs)
+        docs = after
+    return STAGES[-1][1](spark, docs, sf_dir)
