@@ -16,6 +16,7 @@ from .functions import fixed, html, markdown
 from .functions import text as T
 from .operators import documents, embed, evaluate, index, pages, search, verify, web
 from .plans import agent, hybrid
+from .sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,9 +55,11 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs = _docs(spark, d)
-    lengths = index.doc_stats(docs).persist()
-    return index.postings(docs).persist(), lengths, index.corpus_stats(lengths)
+    """Postings, lengths and statistics of the documents: built once in an application, then searched by all queries."""
+    path = f"{d}/documents.parquet"
+
+    t = store.kept_tables(spark, path, "index", lambda write: index.write_index(store.spread(_docs(spark, d).select("doc_id", "text")), write))
+    return t["postings"], t["lengths"], index.corpus_stats(t["lengths"])
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -112,18 +115,18 @@ def _fused(dense: str = "1.0", lexical: str = "1.0") -> str:
 
 @register(f"WITH {_terms_sql('documents', 'doc_id', 'dt')} SELECT id AS doc_id, array_to_string(terms, ' ') AS terms, len(terms)::INT AS n_terms FROM dt")
 def tokenize_terms(spark: SparkSession, d: str) -> DataFrame:
-    t = _docs(spark, d).select("doc_id", T.terms(F.col("text")).alias("t"))
+    t = store.spread(_docs(spark, d).select("doc_id", "text")).select("doc_id", T.terms(F.col("text")).alias("t"))
     return t.select("doc_id", F.array_join("t", " ").alias("terms"), F.size("t").alias("n_terms"))
 
 
 @register(f"WITH {_POSTINGS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS total_tf FROM post GROUP BY term")
 def postings_df(spark: SparkSession, d: str) -> DataFrame:
-    return index.postings(_docs(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
+    return _index(spark, d)[0].groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
 
 
 @register(f"WITH {_POSTINGS} SELECT n_docs, round(avgdl, 6) AS avgdl, (SELECT sum(dl)::BIGINT FROM len) AS total FROM st")
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    return index.corpus_stats(index.doc_stats(_docs(spark, d))).withColumn("avgdl", F.round("avgdl", 6))
+    return _index(spark, d)[2].withColumn("avgdl", F.round("avgdl", 6))
 
 
 @register("SELECT count(*) AS chunks, count(DISTINCT source) AS documents, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents")
@@ -259,7 +262,7 @@ def parent_expand(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _built(spark: SparkSession, d: str) -> hybrid.Index:
-    return hybrid.Index.build(_chunks(spark, d), _vectors(spark, d), _parents(spark, d))
+    return hybrid.Index(_chunks(spark, d), *_index(spark, d), _vectors(spark, d), _parents(spark, d))
 
 
 def _packs_sql(k: int, excluded: str = "false") -> str:

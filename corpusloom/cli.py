@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from . import catalog
 from .operators import embed, index, search
 from .plans import hybrid
+from .sources import store
 
 
 def _show(df: DataFrame, as_json: bool, n: int) -> None:
@@ -27,8 +28,12 @@ def _show(df: DataFrame, as_json: bool, n: int) -> None:
 def build_index(chunks: DataFrame, out: str) -> None:
     """chunks (chunk_id, text, …) -> the tables of an index below a folder; postings are sorted by term for pruning."""
     chunks.write.mode("overwrite").parquet(f"{out}/chunks")
-    index.postings(chunks, "chunk_id").repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{out}/postings")
-    index.doc_stats(chunks, "chunk_id").write.mode("overwrite").parquet(f"{out}/lengths")
+
+    def write(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{out}/{name}")
+        return chunks.sparkSession.read.parquet(f"{out}/{name}")
+
+    index.write_index(store.spread(chunks.select("chunk_id", "text")), write, "chunk_id")
     embed.embed_chunks(chunks).write.mode("overwrite").parquet(f"{out}/vectors")
 
 

@@ -59,9 +59,14 @@ def language(path: Column) -> Column:
 
 def terms(t: Column) -> Column:
     """Distinct index tokens in first-seen order: technical tokens, then words of two and more letters."""
-    t = F.lower(F.regexp_replace(F.coalesce(t, F.lit("")), "(?s)" + fixed.MARKDOWN_NOISE, " $1$2$3 "))
-    rest = F.regexp_replace(t, fixed.TECH_TOKEN, " ")
-    return F.array_distinct(F.concat(F.regexp_extract_all(t, F.lit(fixed.TECH_TOKEN), F.lit(0)), F.regexp_extract_all(rest, F.lit(fixed.WORD), F.lit(0))))
+    noise_free = F.lower(F.regexp_replace(F.coalesce(t, F.lit("")), "(?s)" + fixed.MARKDOWN_NOISE, " $1$2$3 "))
+
+    def of(x: Column) -> Column:
+        rest = F.regexp_replace(x, fixed.TECH_TOKEN, " ")
+        return F.concat(F.regexp_extract_all(x, F.lit(fixed.TECH_TOKEN), F.lit(0)), F.regexp_extract_all(rest, F.lit(fixed.WORD), F.lit(0)))
+
+    # a lambda over a single element computes its argument once, however often the body reads it
+    return F.array_distinct(F.get(F.transform(F.array(noise_free), of), 0))
 
 
 def sub_tokens(ts: Column) -> Column:

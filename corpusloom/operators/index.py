@@ -2,26 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 
-def occurrences(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None) -> DataFrame:
-    """(id, pos, term): the sub-tokens of a document's distinct tokens, in index order."""
-    subs = T.sub_tokens(T.terms(F.col("text") if text is None else text))
-    return docs.select(F.col(id_col).alias("chunk_id"), F.posexplode(subs).alias("pos", "term"))
+def tokenized(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None) -> DataFrame:
+    """(chunk_id, subs): the sub-tokens of a document's distinct tokens, in index order; the one pass over the texts."""
+    return docs.select(F.col(id_col).alias("chunk_id"), T.sub_tokens(T.terms(F.col("text") if text is None else text)).alias("subs"))
+
+
+def occurrences(tokens: DataFrame) -> DataFrame:
+    """(chunk_id, pos, term) of tokenized documents."""
+    return tokens.select("chunk_id", F.posexplode("subs").alias("pos", "term"))
+
+
+def postings_of(tokens: DataFrame) -> DataFrame:
+    """(term, chunk_id, tf, positions) of tokenized documents, in one shuffle: by ranges of term and chunk, so that a term
+    of all documents is spread over many tasks, and sorted, so that a search for a term reads little."""
+    grouped = occurrences(tokens).repartitionByRange("term", "chunk_id").groupBy("term", "chunk_id")
+    return grouped.agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")).sortWithinPartitions("term", "chunk_id")
+
+
+def write_index(docs: DataFrame, write: Callable[[str, DataFrame], DataFrame], id_col: str = "doc_id") -> None:
+    """The tables tokens, postings and lengths through write(name, table); the texts are read once."""
+    tokens = write("tokens", tokenized(docs, id_col))
+    write("postings", postings_of(tokens))
+    write("lengths", lengths_of(tokens))
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None) -> DataFrame:
     """(term, chunk_id, tf, positions); write it sorted by term before searching it many times."""
-    grouped = occurrences(docs, id_col, text).groupBy("term", "chunk_id")
-    return grouped.agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    return postings_of(tokenized(docs, id_col, text))
+
+
+def lengths_of(tokens: DataFrame) -> DataFrame:
+    return tokens.select("chunk_id", F.size("subs").cast("long").alias("dl"))
 
 
 def doc_stats(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None) -> DataFrame:
-    return docs.select(F.col(id_col).alias("chunk_id"), F.size(T.sub_tokens(T.terms(F.col("text") if text is None else text))).cast("long").alias("dl"))
+    return lengths_of(tokenized(docs, id_col, text))
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:
