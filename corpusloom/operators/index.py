@@ -15,15 +15,19 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text: Column | None = Non
     return docs.select(F.col(id_col).alias("chunk_id"), T.sub_tokens(T.terms(F.col("text") if text is None else text)).alias("subs"))
 
 
-def occurrences(tokens: DataFrame) -> DataFrame:
-    """(chunk_id, pos, term) of tokenized documents."""
+def occurrences(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None) -> DataFrame:
+    """(chunk_id, pos, term): the sub-tokens of a document's distinct tokens, in index order."""
+    return occurrences_of(tokenized(docs, id_col, text))
+
+
+def occurrences_of(tokens: DataFrame) -> DataFrame:
     return tokens.select("chunk_id", F.posexplode("subs").alias("pos", "term"))
 
 
 def postings_of(tokens: DataFrame) -> DataFrame:
     """(term, chunk_id, tf, positions) of tokenized documents, in one shuffle: by ranges of term and chunk, so that a term
     of all documents is spread over many tasks, and sorted, so that a search for a term reads little."""
-    grouped = occurrences(tokens).repartitionByRange("term", "chunk_id").groupBy("term", "chunk_id")
+    grouped = occurrences_of(tokens).repartitionByRange("term", "chunk_id").groupBy("term", "chunk_id")
     return grouped.agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")).sortWithinPartitions("term", "chunk_id")
 
 
