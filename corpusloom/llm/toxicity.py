@@ -208,7 +208,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 20_000, max_featu
     known = known.where(~held).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     group = _identity()
     drawn = docs.join(F.broadcast(known), "doc_id").select(F.xxhash64("doc_id", "text").alias("order"), "toxic", "text")
-    feats = saved(drawn.mapInArrow(_extract(group), "order long, toxic int, feats binary"), "toxic-feats")
+    # at most `sample` rows out of all partitions: a few files, not one for every partition of the documents
+    feats = saved(drawn.mapInArrow(_extract(group), "order long, toxic int, feats binary").repartition(max(1, sample // 2000)), "toxic-feats")
     size = len(group) + (1 << _BITS)
     counts = feats.mapInArrow(_tally(size), "feat long, pos long, neg long").groupBy("feat").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     total = feats.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
