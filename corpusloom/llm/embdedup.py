@@ -41,6 +41,11 @@ def vectors(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     return out, ok
 
 
+def even(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which is exact, so that squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def rotated(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
     """Rows of x, padded to a power of two, after three rounds of signs and a fast Hadamard transform."""
     n, d = x.shape
@@ -62,6 +67,7 @@ def codes(x: np.ndarray, tables: int, parts: int, probes: int, seed: int) -> np.
     """(rows, tables, 1 + probes) bucket numbers, the home bucket first."""
     n, d = x.shape
     size = max(2, 1 << (d - 1).bit_length())
+    x = even(x)
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     rng = np.random.default_rng([seed, d])
     choice = np.array(list(itertools.product(range(min(_ALTERNATIVES, 2 * size)), repeat=parts)))
@@ -106,7 +112,7 @@ def _compare(rows: pa.Table, least: float, tables: int, probes: int) -> pa.Recor
     if not len(x) or not len(y):
         return None
     raw = rows.column("raw").to_pylist()
-    v = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+    v = even(np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1))
     norm = np.sqrt(np.einsum("ij,ij->i", v, v))
     own = np.array(rows.column("buckets").to_pylist(), np.int64).reshape(len(raw), tables, 1 + probes)
     home = own[:, :, 0]

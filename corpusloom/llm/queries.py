@@ -18,7 +18,7 @@ from .mixing import mix
 from .pieces import encode
 from .topk import top_k
 from .toxicity import toxicity
-from .warc import read_warc, write_warc
+from .warc import checked_revisits, read_warc, write_warc
 
 
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +41,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = read_warc(write_warc(read(spark, sf_dir, "pages")), keep_payload=False)
-    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    back = checked_revisits(read_warc(write_warc(read(spark, sf_dir, "pages")), keep_payload=False))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ ORACLE: dict[str, str] = {
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
         f AS (SELECT html, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY html)
         SELECT page_id, n AS payload_bytes, sha256(p.html) AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-            CASE WHEN first <> page_id THEN first END AS refers_to FROM p LEFT JOIN f ON p.html = f.html AND n >= 100""",
+            CASE WHEN first <> page_id THEN first END AS refers_to, true AS intact FROM p LEFT JOIN f ON p.html = f.html AND n >= 100""",
     "op7_embeddings": """
         WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
         l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),

@@ -3,21 +3,24 @@
 The components are dealt to `nodes` slices; a vector's score is the sum of its slice scores. (1) Every slice gives its
 local list, the k best slice scores for each query, and its least one; summed over the lists they give a k-th best total so
 far, which no true member of the top k falls below. (2) A vector that reaches this total reaches 1/nodes of it in at
-least one slice (scores counted from the slice's least): such entries are collected, and dropped if even the threshold in
-all other slices leaves them short. (3) What is left gets its remaining slice scores, and the k best are exact.
+least one slice (scores counted from the slice's least). The slices are gone through one after the other, and a vector is
+left out of the next ones as soon as what it has, and at most the product of the two slices' lengths for each slice to
+come, leaves it short of the cutoff. (3) What is left has its exact scores, and the k best of those are given.
 
 Vectors and queries go in blocks, every block of vectors with every block of queries, so that a task holds two blocks.
 The cutoffs travel with their block of queries. In the lists a row is known by its block and place, as a vec_id may have
 several rows.
 
-Cases: vectors null or with null or non-finite components take no part; vectors of another length than the query are no
+Cases: vectors null, empty or with null or non-finite components take no part, nor do those with a component so large that a
+score might not fit a long (its square times the number of components); vectors of another length than the query are no
 candidates; rows that share a query's vec_id are its own and no candidates of it, and of several such rows the query is
-the one with the least bytes; other repeated rows are candidates each; a null vec_id takes no part. Extra columns are
-ignored.
+the one with the least bytes; other repeated rows are candidates each; a null vec_id takes no part; an empty table gives
+an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +36,11 @@ def _quantised(v: pa.ListScalar, scale: int) -> bytes | None:
     if values is None or values.null_count:
         return None
     x = values.to_numpy(zero_copy_only=False).astype(np.float64)
-    if not np.isfinite(x).all():
+    if not np.isfinite(x).all() or not len(x):
         return None
-    return np.floor(x * scale).astype(np.int64).tobytes()
+    with np.errstate(over="ignore"):
+        x = np.floor(x * scale)
+    return x.astype(np.int64).tobytes() if np.abs(x).max() <= math.isqrt((2**63 - 1) // len(x)) else None
 
 
 def _quantiser(scale: int):
@@ -109,8 +114,39 @@ def _local(k: int, nodes: int):
     return run
 
 
+def _survivors(q: np.ndarray, x: np.ndarray, least: np.ndarray, cutoff: np.ndarray, alive: np.ndarray, nodes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of the pairs that may reach the cutoff: score less the slices' least (queries, nodes) >= cutoff.
+
+    A slice's scores are computed for whole blocks while many pairs are left, and pair by pair when few are.
+    """
+    cut = np.array_split(np.arange(q.shape[1]), nodes)
+    long = [(np.sqrt((q[:, c].astype(np.float64) ** 2).sum(axis=1)), np.sqrt((x[:, c].astype(np.float64) ** 2).sum(axis=1))) for c in cut]
+    exact = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] < 2**53
+    kind = np.float64 if exact else np.int64
+    qs, xs = q.astype(kind), x.astype(kind)
+    i, j = np.nonzero(alive)
+    total, seen = np.zeros(len(i), np.int64), np.zeros(len(i), bool)
+    for node, c in enumerate(cut):
+        if not len(i):
+            break
+        if 4 * len(i) > q.shape[0] * x.shape[0]:
+            score = (qs[:, c] @ xs[:, c].T)[i, j].astype(np.int64)
+        else:
+            score = np.empty(len(i), np.int64)
+            for a in range(0, len(i), 1 << 16):
+                score[a : a + (1 << 16)] = np.einsum("pc,pc->p", qs[i[a : a + (1 << 16)]][:, c], xs[j[a : a + (1 << 16)]][:, c])
+        total += score
+        seen |= score - least[i, node] >= cutoff[i] / nodes
+        rest = sum((np.ceil(a[i] * b[j] * (1 + 1e-9)) - least[i, n] for n, (a, b) in enumerate(long) if n > node), np.zeros(len(i)))
+        keep = total - least[i, : node + 1].sum(axis=1) + rest >= cutoff[i]
+        if node == nodes - 1:
+            keep &= seen
+        i, j, total, seen = i[keep], j[keep], total[keep], seen[keep]
+    return i, j, total
+
+
 def _resolve(k: int, nodes: int):
-    """Phases 2 and 3 for a pair of blocks: collected entries with their exact scores, k for each query at most."""
+    """Phases 2 and 3 for a pair of blocks: the entries that may matter with their exact scores, k for each query at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -118,21 +154,13 @@ def _resolve(k: int, nodes: int):
                 q, x = _matrix(r["q_mat"], r["dim"]), _matrix(r["mat"], r["dim"])
                 q_ids, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
                 least, cutoff = np.array(r["least"], np.int64).reshape(-1, nodes), np.array(r["cutoff"], np.float64)
-                s = _slices(q, x, nodes)
-                above = s - least.T[:, :, None]
-                threshold = (cutoff / nodes)[:, None]
-                enough = above >= threshold
-                bound = np.where(enough, above, threshold).sum(axis=0)
-                collected = enough.any(axis=0) & (bound >= cutoff[:, None]) & (ids[None, :] != q_ids[:, None])
-                out: list[list] = [[], [], []]
-                for i in np.flatnonzero(collected.any(axis=1)):
-                    at = np.flatnonzero(collected[i])
-                    total = s[:, i, at].sum(axis=0)  # the slices not known so far resolve the score
-                    top = _best(total, ids[at], k)
-                    for o, v in zip(out, (np.full(len(top), q_ids[i]), ids[at[top]], total[top]), strict=True):
-                        o.append(v)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(np.int64)) for o in out], ["query_id", "vec_id", "score"])
+                i, j, total = _survivors(q, x, least, cutoff, ids[None, :] != q_ids[:, None], nodes)
+                order = np.lexsort((ids[j], -total, i))
+                i, j, total = i[order], j[order], total[order]
+                first = np.searchsorted(i, np.arange(len(q)))
+                top = np.arange(len(i)) - first[i] < k
+                if top.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[i[top]]), pa.array(ids[j[top]]), pa.array(total[top])], ["query_id", "vec_id", "score"])
 
     return run
 

@@ -4,7 +4,15 @@ The reader's tasks each take a byte range of a file. They look for gzip magic fr
 candidate by decoding it until the WARC header shows, and own the records whose member starts inside their range; the last
 one is read past its end. A record's member is inflated in pieces, and one record at a time is in memory.
 
+Digests and sizes are those of the payload as it was read back; a record whose payload does not have the digest that its
+header states is reported as not intact, and so is one whose member cannot be inflated to its end (its digest is null). A
+revisit is intact if a response with the stated page and digest was read.
+
 Files are written to a new name by each task attempt; only those that the written manifest names are read.
+
+Cases: a null html is an empty payload, a null url is left out; payloads of any length that a Spark string has go through,
+one at a time; rows that repeat a page are records each; a null page_id is kept as such; an empty table gives an empty
+manifest, and that no records. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -96,28 +104,31 @@ def write_warc(pages: DataFrame, *, least_bytes: int = 100, roll: int = 64 << 20
     return saved(rows.mapInArrow(_writer(base, roll, level), "path string, size long, records long"), "manifest")
 
 
-def _member(f, at: int, size: int, need: int | None = None) -> tuple[bytes, int] | None:
-    """The gzip member at a place, inflated, and where it ends; None if it isn't one. need: stop after so many bytes."""
-    d, out, got, pos = zlib.decompressobj(31), [], 0, at
+def _inflated(f, at: int, size: int, step: int, need: int | None = None) -> tuple[bytes, int | None]:
+    """What the gzip member at a place holds, at least `need` bytes of it, and where it ends; None for that if it isn't whole.
+
+    step: bytes inflated at once, of which the last ones are lost where the member is damaged.
+    """
+    d, out, got, pos, data = zlib.decompressobj(31), [], 0, at, b""
     f.seek(at)
     try:
-        while not d.eof and pos < size:
-            data = f.read(min(4096 if need and not out else _STEP, size - pos))
+        while not d.eof:
             if not data:
-                return None
-            pos += len(data)
-            part = d.decompress(data)
-            out.append(part)
-            got += len(part)
+                data = f.read(min(4096 if need else _STEP, size - pos))
+                if not data:
+                    break
+                pos += len(data)
+            out.append(d.decompress(data, step))
+            data, got = d.unconsumed_tail, got + len(out[-1])
             if need and got >= need:
-                return b"".join(out), pos
+                break
     except zlib.error:
-        return None
-    return (b"".join(out), pos - len(d.unused_data)) if d.eof else None
+        return b"".join(out), None
+    return b"".join(out), pos - len(d.unused_data) if d.eof else None
 
 
-def records_in(f, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(place, record) of the WARC records whose member starts in [start, end)."""
+def records_in(f, size: int, start: int, end: int) -> Iterator[tuple[int, bytes, bool]]:
+    """(place, record, whether it is whole) of the WARC records whose member starts in [start, end)."""
     at = start
     while at < end:
         f.seek(at)
@@ -129,13 +140,14 @@ def records_in(f, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]
             at += max(1, len(window) - len(_MAGIC) + 1)
             continue
         at += hit
-        probe = _member(f, at, size, need=64)
-        whole = _member(f, at, size) if probe and probe[0].startswith(b"WARC/1.") else None
-        if whole is None:
+        if not _inflated(f, at, size, 64, need=64)[0].startswith(b"WARC/1."):
             at += 1
             continue
-        yield at, whole[0]
-        at = whole[1]
+        raw, after = _inflated(f, at, size, 1 << 20)
+        if after is None:
+            raw = _inflated(f, at, size, 256)[0]
+        yield at, raw, after is not None
+        at = at + 1 if after is None else after
 
 
 def parse(raw: bytes) -> dict:
@@ -163,17 +175,19 @@ def _reader(keep_payload: bool):
                 store, path = filesystem(r["path"])
                 rows: list[tuple] = []
                 with store.open_input_file(path) as f:
-                    for at, raw in records_in(f, r["size"], r["start"], r["end"]):
+                    for at, raw, whole in records_in(f, r["size"], r["start"], r["end"]):
                         got = parse(raw)
                         h = got["fields"]
                         kind, payload = h.get("warc-type", ""), got["payload"]
-                        digest, size = h.get("warc-payload-digest", "").removeprefix("sha256:"), len(payload)
-                        if kind == "response":
-                            intact = hashlib.sha256(payload).hexdigest() == digest
-                        else:
-                            intact = None
+                        stated, size = h.get("warc-payload-digest", "").removeprefix("sha256:"), len(payload)
+                        if not whole:
+                            digest, intact = None, False
+                        elif kind == "revisit":
                             told = [x.split(b":")[1].strip() for x in got["http"].split(b"\r\n") if x.lower().startswith(b"content-length:")]
-                            size = int(told[0]) if told else 0
+                            digest, intact, size = stated, None, int(told[0]) if told and told[0].isdigit() else 0
+                        else:
+                            digest = hashlib.sha256(payload).hexdigest()
+                            intact = digest == stated
                         refers = h.get("warc-refers-to")
                         uri = h.get("warc-target-uri")
                         uri = uri and uri.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
@@ -203,10 +217,20 @@ def archives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_warc(files: DataFrame, *, split: int = 8 << 20, keep_payload: bool = True) -> DataFrame:
-    """(path, size) of gzip WARC files -> a row for each record, whatever byte range it starts in; intact tells of a response whether its digest holds."""
+    """(path, size) of gzip WARC files -> a row for each record, whatever byte range it starts in, with its intact."""
     spark = files.sparkSession
     ship(spark)
     ranges = files.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split).cast("long"))))
     ranges = ranges.select("path", "size", "start", F.least(F.col("start") + split, F.col("size")).alias("end"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return ranges.repartition(parts, "path", "start").mapInArrow(_reader(keep_payload), _RECORD)
+
+
+def checked_revisits(records: DataFrame) -> DataFrame:
+    """The records with `intact` of revisits: whether the response that they name was read with the digest that they state."""
+    records = saved(records, "records")
+    of = records.where("record_type = 'response' and intact").select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes")).distinct()
+    # one response may have very many revisits: a plain join, which adaptive execution can split
+    named = (F.col("record_type") == "revisit") & (F.col("refers_to") == F.col("_page")) & (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes"))
+    intact = F.when((F.col("record_type") == "revisit") & F.col("intact").isNull(), F.col("_page").isNotNull()).otherwise(F.col("intact"))
+    return records.join(of, named, "left").withColumn("intact", intact).drop("_page", "_digest", "_bytes")

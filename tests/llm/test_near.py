@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.components import connected_components
 from corpusloom.llm.embdedup import embedding_dedup
 from corpusloom.llm.minhash import common_counts, minhash_dedup
-from corpusloom.llm.topk import top_k
+from corpusloom.llm.topk import _survivors, top_k
 
 DOCS = "doc_id long, text string, key string, cls int, root string"
 
@@ -142,6 +142,38 @@ def test_top_k_large_components_stay_exact(spark):
     assert len(got) == 3 and all(r.score == int(2**29 + r.query_id) * int(2**29 + r.vec_id) + 9 for r in got)
 
 
+def test_embeddings_of_any_magnitude_link(spark):
+    rows = [(0, [1e200, 2e200]), (1, [1e-200, 2e-200]), (2, [1.0, 2.01]), (3, [-1e308, 1.7e308]), (4, [-5e-324, 1e-323]), (5, [0.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (1, 3), 4: (1, 3), 5: (0, 5)}
+
+
+def test_top_k_leaves_out_what_may_not_fit(spark):
+    rows = [(0, [1.0, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 1.0]), (3, [2.0**20, 2.0**20]), (4, [2.0, -3.0]), (5, []), (100, [2.0**20, -(2.0**20)])]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(0, 1, 3, 2**41), (0, 2, 100, 0), (0, 3, 4, -(2**20)), (100, 1, 4, 5 * 2**40), (100, 2, 0, 0), (100, 3, 3, 0)]
+
+
+@pytest.mark.parametrize("scale", [1.0, 2.0**40])
+def test_survivors_are_all_that_reach_the_cutoff(scale):
+    """Against full products; clustered vectors, so that later slices are computed for few pairs only."""
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=(6, 32)) * 3000
+    x = np.floor(np.repeat(centre, 40, axis=0) + rng.normal(size=(240, 32)) * 300).astype(np.int64)
+    q = np.floor(centre + 5).astype(np.int64) * int(scale if scale > 1 and 2**40 * 10**4 < 2**62 else 1)
+    if scale > 1:
+        q, x = q // 2**20, x
+    slices = np.stack([q[:, c] @ x[:, c].T for c in np.array_split(np.arange(32), 4)])
+    least = slices.min(axis=2).T
+    full = q @ x.T
+    nth = np.sort(full, axis=1)[:, -10]
+    cutoff = (nth - least.sum(axis=1)).astype(np.float64)
+    alive = np.ones(full.shape, bool)
+    i, j, total = _survivors(q, x, least, cutoff, alive, 4)
+    assert (total == full[i, j]).all()
+    assert {(a, b) for a, b in zip(*np.nonzero(full >= nth[:, None]), strict=True)} <= set(zip(i.tolist(), j.tolist(), strict=True))
+
+
 def test_top_k_repeated_rows_raise_no_cutoff(spark):
     rows = [(0, [4.0] * 4), (99, [1.796875] * 4)]
     for other in (0.0, 1.0):  # the second row of a vec_id equal to the first, or high in another slice

@@ -1,6 +1,7 @@
 """Lines, language model, pieces, mixing, WARC, HTML, toxicity and the stages."""
 
 import gzip
+import hashlib
 import io
 import math
 import random
@@ -18,7 +19,7 @@ from corpusloom.llm.htmltext import html_text, text_of
 from corpusloom.llm.linededup import line_dedup
 from corpusloom.llm.mixing import mix, mixed_documents, word_count
 from corpusloom.llm.pieces import SPACE, _codec, boundary_states, compose, decode, encode, traced, transfer
-from corpusloom.llm.warc import archives, read_warc, record, records_in, write_warc
+from corpusloom.llm.warc import archives, checked_revisits, read_warc, record, records_in, write_warc
 
 VOCABULARY = stages.VOCABULARY
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, size int"
@@ -321,7 +322,7 @@ def test_warc_round_trip(spark):
     by = sorted((str(r.page_id), r.record_type, str(r.refers_to), r.payload_bytes) for r in got)
     n = len(big.encode())
     assert by == sorted([("5", "revisit", "3", n), ("3", "response", "None", n), ("9", "revisit", "3", n), ("None", "revisit", "3", n), ("3", "response", "None", n)] + [(str(i), "response", "None", s) for i, s in ((1, 5), (2, 5), (4, 0), (6, 0), (8, 300_000))])
-    assert all(r.intact for r in got if r.record_type == "response") and len({(r.path, r.place) for r in got}) == len(rows)
+    assert all(r.intact for r in got if r.record_type == "response") and all(r.intact for r in checked_revisits(read_warc(files, split=97)).collect()) and len({(r.path, r.place) for r in got}) == len(rows)
     assert {r.url for r in got if r.page_id == 5} == {"http://a/%0A?x=1\r\n"}
     folder = files.first().path.rsplit("/", 1)[0]
     assert read_warc(archives(spark, folder)).count() == len(rows)
@@ -333,8 +334,23 @@ def test_ranges_own_each_record_once():
     data = b"junk\x1f\x8b\x08junk" + b"".join(gzip.compress(r, mtime=0) for r in raw)
     for step in (1, 13, 100, 5000):
         f = io.BytesIO(data)
-        seen = [r for a in range(0, len(data), step) for _, r in records_in(f, len(data), a, min(a + step, len(data)))]
-        assert seen == raw
+        seen = [(r, whole) for a in range(0, len(data), step) for _, r, whole in records_in(f, len(data), a, min(a + step, len(data)))]
+        assert seen == [(r, True) for r in raw]
+
+
+def test_damage_is_reported(spark, tmp_path):
+    """A payload of another digest, a flipped byte and a cut file: the record is there and not intact, nor are its revisits."""
+    big = [f"<p>{i} {'x' * 200}</p>".encode() for i in range(5)]
+    sha = [hashlib.sha256(b).hexdigest() for b in big]
+    members = [bytearray(gzip.compress(record(i, "u", big[i] if i != 1 else big[i].replace(b"x", b"y"), sha[i], len(big[i]), None), mtime=0)) for i in range(5)]
+    members += [bytearray(gzip.compress(record(10 + i, "u", b"", sha[i], len(big[i]), i), mtime=0)) for i in range(5)]
+    members[2][-6] ^= 1
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(members[:5]) + b"".join(members[5:9]) + bytes(members[9])[:-20])
+    files = spark.createDataFrame([("file://" + str(path), path.stat().st_size)], "path string, size long")
+    got = {r.page_id: r for r in checked_revisits(read_warc(files, split=64)).collect()}
+    assert {i: r.intact for i, r in got.items()} == {0: True, 1: False, 2: False, 3: True, 4: True, 10: True, 11: False, 12: False, 13: True, 14: False}
+    assert got[0].payload_digest == sha[0] and got[1].payload_digest == hashlib.sha256(big[1].replace(b"x", b"y")).hexdigest() and got[2].payload_digest is None
 
 
 # HTML
