@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import stages, toxicity
+from corpusloom.llm import ctw, stages, toxicity
 from corpusloom.llm.ctw import ctw_score
 from corpusloom.llm.htmltext import html_text, text_of
 from corpusloom.llm.linededup import line_dedup
@@ -201,7 +201,23 @@ def test_ctw_equals_brute_force(spark):
         base = sum(math.log10((tokens[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own)
         r = by[i, len(own), round(base, 6)]
         assert (r.held_out, r.n_known, r.train_tokens) == (h, sum(tokens[w] > 0 for w in own), n)
-        assert math.isclose(r.score, brute_ctw(train, t, 3), rel_tol=1e-5)
+        assert math.isclose(r.score, brute_ctw(train, t, 3), rel_tol=1e-9)
+
+
+def test_ctw_slices_of_long_texts(monkeypatch):
+    """Slices of any size give the grams, words and canonical bytes of the whole."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcAé \n") for _ in range(rng.randint(0, 60))).encode() for _ in range(30)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    c = ctw.canonical(data, offsets)
+    g, (w, doc) = ctw.grams(c, 4), ctw.word_keys(c)
+    alone = [ctw.canonical(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts]
+    for size in (1, 5, 16, 64):
+        monkeypatch.setattr(ctw, "_SLICE", size)
+        assert (np.concatenate([y for _, y in ctw.gram_slices(c, 4)]) == g).all()
+        got = [np.concatenate(x) for x in zip(*ctw.word_slices(c), strict=True)]
+        assert sorted(zip(*got, strict=True)) == sorted(zip(w, doc, strict=True))
+        assert all((ctw.canonical(np.frombuffer(t, np.uint8), np.array([0, len(t)])) == x).all() for t, x in zip(texts, alone, strict=True))
 
 
 def test_ctw_empty(spark):
