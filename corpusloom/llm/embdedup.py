@@ -200,6 +200,6 @@ def embedding_dedup(vecs: DataFrame, *, least: float = 0.9, tables: int = 8, par
     comps = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "cls")
     each = hashed.select("vec_id", "cls").join(classes.select("cls", "m"), "cls", "left").join(links, "cls", "left").join(comps, "cls", "left")
     each = saved(each.withColumn("root", F.coalesce("root", "cls")).withColumn("n_links", F.coalesce("links", F.lit(0)) + F.coalesce(F.col("m") - 1, F.lit(0))), "each")
-    named = each.where("root is not null").groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    named = saved(each.where("root is not null").groupBy("root").agg(F.min("vec_id").alias("component_id")), "named")
     out = each.join(named, "root", "left").withColumn("component_id", F.coalesce("component_id", "vec_id"))
     return out.select("vec_id", "n_links", "component_id", F.expr("vec_id <=> component_id").alias("kept"))

@@ -62,6 +62,8 @@ def test_minhash_equals_brute_force(spark):
     assert got == brute_minhash(rows)
     small = minhash_dedup(df, block=4)  # blocks of a few rows give the same
     assert sorted([tuple(r) for r in small.collect()], key=str) == got
+    few = minhash_dedup(df, class_bits=3)  # class names that collide are told apart
+    assert sorted([tuple(r) for r in few.collect()], key=str) == got
 
 
 def test_minhash_empty_table(spark):
