@@ -1,7 +1,7 @@
 """Registered queries and, where SQL can express them, their DuckDB SQL.
 
-Chunks are the documents themselves (chunk_id = doc_id), three to a parent, with their source as section; queries are the
-first two index terms of the benchmark passages, with the vector of the same number.
+Chunks are the documents themselves (chunk_id = doc_id), three to a parent, with their source as section; queries are all
+index terms of the benchmark passages, with the vector of the same number.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(T.terms(F.col("text")), 1, 2), " ").alias("text"))
+    return _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(T.terms(F.col("text")), " ").alias("text"))
 
 
 def _vector_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +67,9 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _parents(spark: SparkSession, d: str) -> DataFrame:
-    c = _chunks(spark, d).where("chunk_id % 3 = 0")
+    """The texts of a parent's children, three at most, in their order."""
+    c = _chunks(spark, d).groupBy("parent_id").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "text"))).alias("c"))
+    c = c.select("parent_id", F.array_join("c.text", "\n\n").alias("text"))
     return c.select("parent_id", "text", F.size(T.counted_tokens(F.col("text"))).alias("token_count"))
 
 
@@ -89,12 +91,12 @@ _POSTINGS = f"""{_terms_sql("documents", "doc_id", "dt")},
     len AS (SELECT id AS chunk_id, len(subs) AS dl FROM ds),
     st AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM len)"""
 _BM25 = f"""{_POSTINGS}, {_terms_sql("benchmark", "item_id", "bt")},
-    qt AS (SELECT id AS query_id, unnest(terms[1:2]) AS token, len(terms[1:2]) AS n_phrases FROM bt),
+    qt AS (SELECT id AS query_id, unnest(terms) AS token, len(terms) AS n_phrases FROM bt),
     hit AS (SELECT query_id, n_phrases, token, chunk_id, tf FROM qt JOIN post ON post.term = token),
     dfs AS (SELECT query_id, token, count(*) AS df FROM hit GROUP BY ALL),
     sc AS (SELECT query_id, chunk_id, n_phrases, count(*) AS got, sum((CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - df + 0.5) / (df + 0.5)) END)
         * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM hit JOIN dfs USING (query_id, token) JOIN len USING (chunk_id), st GROUP BY ALL),
-    al AS (SELECT query_id, chunk_id, score FROM sc WHERE got = n_phrases),
+    al AS (SELECT query_id, chunk_id, round(score, 9) AS score FROM sc WHERE got = n_phrases),
     bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM al) WHERE rank <= 20)"""
 _DENSE = """dv AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
     dq AS (SELECT item_id AS query_id, e FROM benchmark JOIN dv ON vec_id = item_id),
@@ -172,12 +174,17 @@ def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(f"""WITH {_POSTINGS}, {_terms_sql("benchmark", "item_id", "bt")},
-    q AS (SELECT id AS query_id, terms[1] AS a, terms[2] AS b FROM bt), hit AS (SELECT query_id, x.chunk_id, count(*) AS tf FROM q JOIN occ x ON x.term = a JOIN occ y ON y.term = b AND y.chunk_id = x.chunk_id AND y.pos = x.pos + 1 GROUP BY ALL),
-    dfs AS (SELECT query_id, count(*) AS df FROM hit GROUP BY 1),
-    s AS (SELECT query_id, chunk_id, greatest(ln((n_docs - df + 0.5) / (df + 0.5)), CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE -1e9 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS score FROM hit JOIN dfs USING (query_id) JOIN len USING (chunk_id), st)
+    q AS (SELECT id AS query_id, terms[i] AS a, terms[i + 1] AS b FROM (SELECT *, unnest(range(1, len(terms), 2)) AS i FROM bt)),
+    hit AS (SELECT query_id, a, b, x.chunk_id, count(*) AS tf FROM q JOIN occ x ON x.term = a JOIN occ y ON y.term = b AND y.chunk_id = x.chunk_id AND y.pos = x.pos + 1 GROUP BY ALL),
+    dfs AS (SELECT query_id, a, b, count(*) AS df FROM hit GROUP BY ALL),
+    s AS (SELECT query_id * 1000 + a.i AS query_id, chunk_id, greatest(ln((n_docs - df + 0.5) / (df + 0.5)), CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE -1e9 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS score
+        FROM hit JOIN dfs USING (query_id, a, b) JOIN (SELECT id AS query_id, unnest(range(1, len(terms), 2)) AS i, terms FROM bt) a ON a.query_id = hit.query_id AND a.terms[i] = hit.a JOIN len USING (chunk_id), st)
     SELECT * FROM (SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s) WHERE rank <= 20""")
 def bm25_phrase(spark: SparkSession, d: str) -> DataFrame:
-    phrases = _queries(spark, d).withColumn("text", F.regexp_replace("text", "^([a-z0-9]+) ([a-z0-9]+)$", "$1-$2"))
+    """Every two neighbouring terms of a passage as one phrase, a query each: 1000 * item_id + place of the first term."""
+    terms = _read(spark, d, "benchmark").select("item_id", T.terms(F.col("text")).alias("t")).where(F.size("t") > 1)
+    pairs = terms.select("item_id", "t", F.explode(F.sequence(F.lit(1), F.size("t") - 1, F.lit(2))).alias("i"))
+    phrases = pairs.select((F.col("item_id") * 1000 + F.col("i")).alias("query_id"), F.concat_ws("-", F.element_at("t", F.col("i")), F.element_at("t", F.col("i") + 1)).alias("text"))
     return search.bm25(phrases, *_index(spark, d)).withColumn("score", F.round("score", 6))
 
 
@@ -252,7 +259,7 @@ def parent_dedup(spark: SparkSession, d: str) -> DataFrame:
     return search.best_of_parent(_with_meta(spark, d)).select("query_id", "chunk_id", "parent_id", "final_rank")
 
 
-_PARENTS = "pa AS (SELECT floor(doc_id / 3)::BIGINT AS parent_id, CASE WHEN length(text) > 6000 THEN left(text, 6000) || chr(10) || '…[truncated]' ELSE text END AS parent_text FROM documents WHERE doc_id % 3 = 0)"
+_PARENTS = "pw AS (SELECT floor(doc_id / 3)::BIGINT AS parent_id, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY 1), pa AS (SELECT parent_id, CASE WHEN length(text) > 6000 THEN left(text, 6000) || chr(10) || '…[truncated]' ELSE text END AS parent_text FROM pw)"
 
 
 @register(f"WITH {_fused()}, {_META}, {_PARENTS} SELECT query_id, chunk_id, sha256(coalesce(parent_text, '')) AS parent_sha, length(coalesce(parent_text, ''))::INT AS parent_chars FROM fm LEFT JOIN pa USING (parent_id)")
@@ -280,7 +287,7 @@ def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
 
 _RERANKED = f"""{_packs_sql(20)}, pt AS (SELECT query_id, chunk_id, final_rank, coalesce(nullif(parent_text, ''), CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END) AS text FROM pk),
     {_terms_sql("(SELECT DISTINCT text FROM pt)", "text", "tt")},
-    rs AS (SELECT query_id, chunk_id, final_rank, len(list_intersect(bt.terms[1:2], tt.terms)) / len(bt.terms[1:2]) AS score FROM pt JOIN tt ON tt.id = pt.text JOIN bt ON bt.id = query_id),
+    rs AS (SELECT query_id, chunk_id, final_rank, len(list_intersect(bt.terms, tt.terms)) / len(bt.terms) AS score FROM pt JOIN tt ON tt.id = pt.text JOIN bt ON bt.id = query_id),
     rr AS (SELECT query_id, chunk_id, final_rank AS fusion_rank, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, final_rank) AS final_rank FROM rs)"""
 
 
@@ -312,15 +319,15 @@ def hit_at_k_mrr(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("hit_at_k", F.round("hit_at_k", 6)).withColumn("mrr", F.round("mrr", 6))
 
 
-@register(f"""WITH {_BM25}, w AS (SELECT query_id, unnest(terms) AS w FROM (SELECT id AS query_id, list_distinct(terms[1:2]) AS terms FROM bt)), p AS (SELECT query_id, lower(left(text, 300)) AS p FROM bm JOIN documents ON doc_id = chunk_id),
+@register(f"""WITH {_BM25}, w AS (SELECT query_id, unnest(terms) AS w FROM (SELECT id AS query_id, terms FROM bt)), p AS (SELECT query_id, lower(text) AS p FROM bm JOIN documents ON doc_id = chunk_id),
     h AS (SELECT w.query_id, w, max(coalesce(contains(p, w), false)::INT) AS hit FROM w LEFT JOIN p USING (query_id) GROUP BY ALL) SELECT query_id, round(avg(hit), 3) AS coverage FROM h GROUP BY 1""")
 def keyword_coverage(spark: SparkSession, d: str) -> DataFrame:
     q = _queries(spark, d)
-    packs = search.bm25(q, *_index(spark, d)).join(_docs(spark, d).select(F.col("doc_id").alias("chunk_id"), F.left("text", F.lit(300)).alias("child_text")), "chunk_id")
+    packs = search.bm25(q, *_index(spark, d)).join(_docs(spark, d).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("child_text")), "chunk_id")
     return search.keyword_coverage(q, packs)
 
 
-@register(f"WITH {_BM25} SELECT query_id, sha256('lexical|' || array_to_string(bt.terms[1:2], ' ') || '|' || string_agg(chunk_id::VARCHAR, ',' ORDER BY chunk_id::VARCHAR)) AS key FROM bm JOIN bt ON bt.id = query_id GROUP BY query_id, bt.terms")
+@register(f"WITH {_BM25} SELECT query_id, sha256('lexical|' || array_to_string(bt.terms, ' ') || '|' || string_agg(chunk_id::VARCHAR, ',' ORDER BY chunk_id::VARCHAR)) AS key FROM bm JOIN bt ON bt.id = query_id GROUP BY query_id, bt.terms")
 def rerank_cache_key(spark: SparkSession, d: str) -> DataFrame:
     q = _queries(spark, d)
     return search.rerank_key(q, search.bm25(q, *_index(spark, d)))
@@ -340,9 +347,9 @@ def normalize_text(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.sha2(T.normalized(dirty), 256).alias("sha"))
 
 
-@register("SELECT doc_id, regexp_replace(left(text, 40) || '-' || chr(10) || '  ' || left(text, 20), '([0-9A-Za-z])-\\n[ \\t]*([0-9A-Za-z])', '\\1\\2', 'g') AS text FROM documents")
+@register("SELECT doc_id, regexp_replace(text || '-' || chr(10) || '  ' || text, '([0-9A-Za-z])-\\n[ \\t]*([0-9A-Za-z])', '\\1\\2', 'g') AS text FROM documents")
 def dehyphenate(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", T.dehyphenated(F.concat(F.left("text", F.lit(40)), F.lit("-\n  "), F.left("text", F.lit(20)))).alias("text"))
+    return _docs(spark, d).select("doc_id", T.dehyphenated(F.concat("text", F.lit("-\n  "), "text")).alias("text"))
 
 
 @register("SELECT doc_id, length(regexp_replace(text, '\\s+', '', 'g'))::INT AS non_ws, length(text)::INT AS chars FROM documents")
@@ -444,14 +451,18 @@ def repeated_lines_removed(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "page_no", "removed", F.sha2("text", 256).alias("sha"))
 
 
-@register("""WITH v AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Abstract:' WHEN 1 THEN '2.1 ' || replace(left(text, 20), chr(10), ' ') WHEN 2 THEN 'RESULTS AND DATA' WHEN 3 THEN replace(left(text, 130), chr(10), ' ') ELSE '3 Ends here.' END AS s FROM documents)
-    SELECT doc_id, length(s) <= 120 AND (regexp_replace(lower(s), ':+$', '') IN ('abstract', 'introduction', 'conclusion', 'references', 'acknowledgments', 'acknowledgements', 'appendix') OR (regexp_matches(s, '^\\s*[0-9]+(\\.[0-9]+)*\\s+[A-Z].+$') AND NOT ends_with(s, '.'))
-        OR (length(regexp_replace(s, '[^\\pL]', '', 'g')) >= 6 AND length(regexp_replace(s, '[^\\p{Lu}]', '', 'g')) / greatest(1, length(regexp_replace(s, '[^\\pL]', '', 'g'))) > 0.85 AND len(string_split_regex(trim(s), '\\s+')) <= 10)) AS heading,
-        CASE WHEN regexp_extract(s, '^\\s*([0-9]+(\\.[0-9]+)*)\\s+.+$', 1) = '' THEN 2 ELSE least(1 + len(string_split(regexp_extract(s, '^\\s*([0-9]+(\\.[0-9]+)*)\\s+.+$', 1), '.')), 4) END::INT AS level FROM v""")
+@register(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+    v AS (SELECT doc_id, line_no, CASE line_no % 5 WHEN 1 THEN '2.1 ' || line WHEN 2 THEN 'RESULTS AND DATA' WHEN 3 THEN '3 ' || regexp_replace(line, '[.]+$', '') WHEN 4 THEN 'Abstract:' ELSE line END AS s FROM l)
+    SELECT doc_id, line_no::INT AS line_no, length(s) <= 120 AND (regexp_replace(lower(s), ':+$', '') IN ('abstract', 'introduction', 'conclusion', 'references', 'acknowledgments', 'acknowledgements', 'appendix') OR (regexp_matches(s, '^\s*[0-9]+(\.[0-9]+)*\s+[A-Z].+$') AND NOT ends_with(s, '.'))
+        OR (length(regexp_replace(s, '[^\pL]', '', 'g')) >= 6 AND length(regexp_replace(s, '[^\p{Lu}]', '', 'g')) / greatest(1, length(regexp_replace(s, '[^\pL]', '', 'g'))) > 0.85 AND len(string_split_regex(trim(s), '\s+')) <= 10)) AS heading,
+        CASE WHEN regexp_extract(s, '^\s*([0-9]+(\.[0-9]+)*)\s+.+$', 1) = '' THEN 2 ELSE least(1 + len(string_split(regexp_extract(s, '^\s*([0-9]+(\.[0-9]+)*)\s+.+$', 1), '.')), 4) END::INT AS level FROM v""")
 def heading_lines(spark: SparkSession, d: str) -> DataFrame:
-    options = [F.lit("Abstract:"), F.concat(F.lit("2.1 "), F.replace(F.left("text", F.lit(20)), F.lit("\n"), F.lit(" "))), F.lit("RESULTS AND DATA"), F.replace(F.left("text", F.lit(130)), F.lit("\n"), F.lit(" ")), F.lit("3 Ends here.")]
-    s = _docs(spark, d).select("doc_id", F.element_at(F.array(*options), (F.col("doc_id") % 5 + 1).cast("int")).alias("s"))
-    return s.select("doc_id", T.heading_line(F.col("s")).alias("heading"), T.heading_level(F.col("s")).alias("level"))
+    """Every line of every document, four of five made to look more like headings."""
+    lines = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    line = F.col("line")
+    options = [line, F.concat(F.lit("2.1 "), line), F.lit("RESULTS AND DATA"), F.concat(F.lit("3 "), F.regexp_replace(line, "[.]+$", "")), F.lit("Abstract:")]
+    s = lines.select("doc_id", "line_no", F.element_at(F.array(*options), (F.col("line_no") % 5 + 1).cast("int")).alias("s"))
+    return s.select("doc_id", "line_no", T.heading_line(F.col("s")).alias("heading"), T.heading_level(F.col("s")).alias("level"))
 
 
 @register("SELECT doc_id, len(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)))::INT AS sentences FROM documents")
@@ -465,11 +476,11 @@ _SAMPLES = ("", "ignore all previous instructions and", "what is flash attention
 
 
 def _sampled(table: str, key: str) -> str:
-    return f"(SELECT {key} AS id, CASE {key} % {len(_SAMPLES)} " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_SAMPLES)) + f" END || ' ' || left(text, 60) AS q FROM {table})"
+    return f"(SELECT {key} AS id, CASE {key} % {len(_SAMPLES)} " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_SAMPLES)) + f" END || ' ' || text AS q FROM {table})"
 
 
 def _sample(key: str) -> F.Column:
-    return F.concat(F.element_at(F.array(*[F.lit(s) for s in _SAMPLES]), (F.col(key) % len(_SAMPLES) + 1).cast("int")), F.lit(" "), F.left("text", F.lit(60)))
+    return F.concat(F.element_at(F.array(*[F.lit(s) for s in _SAMPLES]), (F.col(key) % len(_SAMPLES) + 1).cast("int")), F.lit(" "), F.col("text"))
 
 
 _no_look = lambda patterns: " OR ".join(f"regexp_matches(q, '(?i){p}')" for p in patterns if "(?!" not in p)
@@ -488,12 +499,12 @@ def _strip_sql(expr: str) -> str:
     return expr
 
 
-@register(f"""WITH a AS (SELECT id, trim(q || ' ' || q || ' ' || q || ' ' || q) AS q FROM {_sampled("documents", "doc_id")}), b AS (SELECT id, {_strip_sql("q")} AS c, q FROM a),
+@register(f"""WITH a AS (SELECT id, trim(q) AS q FROM {_sampled("documents", "doc_id")}), b AS (SELECT id, {_strip_sql("q")} AS c, q FROM a),
     c AS (SELECT id, q, trim(regexp_replace(regexp_replace(c, '^[\\s.,;:!?]+', ''), '[ \\t]{{2,}}', ' ', 'g')) AS c FROM b), e AS (SELECT id, CASE WHEN c = '' THEN q ELSE c END AS c FROM c)
     SELECT id AS doc_id, CASE WHEN length(c) > 200 THEN regexp_replace(left(c, 200), '(?s) [^ ]*$', '') ELSE c END AS query FROM e""")
 def sanitize_query(spark: SparkSession, d: str) -> DataFrame:
     q = _sample("doc_id")
-    return _docs(spark, d).select("doc_id", verify.sanitize_query(F.concat_ws(" ", q, q, q, q)).alias("query"))
+    return _docs(spark, d).select("doc_id", verify.sanitize_query(q).alias("query"))
 
 
 _any_sql = lambda patterns, x: " OR ".join(f"regexp_matches({x}, '(?i){p}')" if "(?!" not in p else f"(regexp_matches({x}, '(?i)act\\s+as\\s+') AND NOT regexp_matches({x}, '(?i)act\\s+as\\sa\\s+research'))" for p in patterns)
@@ -522,13 +533,13 @@ def domain_allowlist(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- citations and self-check ---------------------------------------------------------------------------------------
 
-_ANSWERS = f"an AS (SELECT doc_id AS request_id, trim(s[1]) || ' [1]. Then 37x more at 12 ms [2] [7]. ' || left(text, 60) || ' Only 5 of them.' AS answer, text, source, n_chars FROM (SELECT *, {_SPLIT.format('text')} AS s FROM documents))"
+_ANSWERS = f"an AS (SELECT doc_id AS request_id, trim(s[1]) || ' [1]. Then 37x more at 12 ms [2] [7]. ' || text || ' Only 5 of them.' AS answer, text, source, n_chars FROM (SELECT *, {_SPLIT.format('text')} AS s FROM documents))"
 _SOURCES = "so AS (SELECT doc_id AS request_id, unnest(['1', '2', '3']) AS citation_id, unnest([text, 'then more ' || n_chars || ' at 12 ms', source]) AS source, unnest(['internal', 'web', 'internal']) AS source_type FROM documents)"
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     first = F.trim(F.element_at(T.sentences(F.col("text")), 1))
-    return _docs(spark, d).select(F.col("doc_id").alias("request_id"), F.concat(first, F.lit(" [1]. Then 37x more at 12 ms [2] [7]. "), F.left("text", F.lit(60)), F.lit(" Only 5 of them.")).alias("answer"))
+    return _docs(spark, d).select(F.col("doc_id").alias("request_id"), F.concat(first, F.lit(" [1]. Then 37x more at 12 ms [2] [7]. "), F.col("text"), F.lit(" Only 5 of them.")).alias("answer"))
 
 
 def _sources(spark: SparkSession, d: str) -> DataFrame:
@@ -644,11 +655,16 @@ def github_markdown(spark: SparkSession, d: str) -> DataFrame:
     return documents.github_markdown(files).select("doc_id", "n_files", F.sha2("content_md", 256).alias("sha"))
 
 
-@register("""WITH s AS (SELECT page_id, length(regexp_replace(left(html, (page_id % 7 * 60)::INT), '\\s+', '', 'g')) AS a, length(regexp_replace(left(html, (page_id % 5 * 100)::INT), '\\s+', '', 'g')) AS b FROM pages)
+@register(r"""WITH t AS (SELECT page_id, html, regexp_replace(html, '<[^>]*>', '', 'g') AS bare FROM pages), u AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN html ELSE bare END AS x, CASE page_id % 5 WHEN 0 THEN bare WHEN 1 THEN '' WHEN 2 THEN html || html ELSE html END AS y FROM t),
+    s AS (SELECT page_id, length(regexp_replace(x, '\s+', '', 'g')) AS a, length(regexp_replace(y, '\s+', '', 'g')) AS b FROM u)
     SELECT page_id, CASE WHEN a = 0 THEN 'md' WHEN b = 0 OR a >= greatest(200, floor(b * 0.8)) THEN 'html' ELSE 'md' END AS choice FROM s""")
 def html_or_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    cut = lambda m, n: F.left("html", (F.col("page_id") % m * n).cast("int"))
-    return _read(spark, d, "pages").select("page_id", documents.richer(cut(7, 60), cut(5, 100)).alias("choice"))
+    """Whole pages and their texts without tags, in all combinations."""
+    p = _read(spark, d, "pages").withColumn("bare", F.regexp_replace("html", "<[^>]*>", ""))
+    x = F.when(F.col("page_id") % 3 == 0, F.col("html")).otherwise(F.col("bare"))
+    kind = F.col("page_id") % 5
+    y = F.when(kind == 0, F.col("bare")).when(kind == 1, F.lit("")).when(kind == 2, F.concat("html", "html")).otherwise(F.col("html"))
+    return p.select("page_id", documents.richer(x, y).alias("choice"))
 
 
 @register(f"""WITH {_SOURCES} SELECT so.request_id, sha256(string_agg('[' || citation_id || '] [' || upper(source_type) || '] Source: ' || lang || ' | Section: ' || CASE WHEN citation_id = '1' THEN '—' ELSE 's' END || chr(10) || 'URL: N/A' || chr(10) || 'chunk_id: c' || citation_id || chr(10) || chr(10) || so.source,

@@ -50,7 +50,8 @@ def bm25(queries: DataFrame, postings: DataFrame, lengths: DataFrame, stats: Dat
     scored = scored.groupBy("query_id", "chunk_id", "n_phrases").agg(F.count("*").alias("got"), F.sum(part).alias("score")).where("got = n_phrases")
     if keep is not None:
         scored = scored.join(keep.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    return ranked(scored.select("query_id", "chunk_id", "score"), n, F.desc("score"), F.asc("chunk_id"))
+    # the parts of a score are added in any order; nine decimals make equal documents equal, so that reruns agree
+    return ranked(scored.select("query_id", "chunk_id", F.round("score", 9).alias("score")), n, F.desc("score"), F.asc("chunk_id"))
 
 
 def _pack(df: DataFrame, key: str, ids: str, vec: str, size: int) -> DataFrame:
