@@ -80,13 +80,16 @@ BOILERPLATE = (
 
 # Words that carry no grounding signal.
 STOP_WORDS = (
-    "the a an is are was were be been being has have had do does did will would could should may might can shall "
-    "and or but nor in on at to for of with by from as into through during this that these those it its they their "
-    "our we you your he she his her also which who what when where how not no so if about than then up"
-).split()
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "has", "have", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "can", "shall", "and", "or", "but", "nor", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "into",
+    "through", "during", "this", "that", "these", "those", "it", "its", "they", "their", "our", "we", "you", "your", "he", "she", "his", "her",
+    "also", "which", "who", "what", "when", "where", "how", "not", "no", "so", "if", "about", "than", "then", "up",
+)
 
 # Headings known by their words.
-HEADINGS = "abstract introduction conclusion references acknowledgments acknowledgements appendix".split()
+HEADINGS = (
+    "abstract", "introduction", "conclusion", "references", "acknowledgments", "acknowledgements", "appendix",
+)
 
 # Tokens and markers.
 MARKDOWN_NOISE = r"```.*?```|`([^`\n]+)`|\*{1,3}([^*\n]+)\*{1,3}|#{1,6}\s|\[([^\]]+)\]\([^)]+\)|!\[[^\]]*\]\([^)]+\)|\|[-:]+\||---+|===+"
@@ -105,3 +108,15 @@ LANGUAGES = {
     ".cc": "cpp", ".cxx": "cpp", ".c": "c", ".h": "c", ".hpp": "cpp", ".cu": "cpp", ".md": "markdown", ".txt": "text", ".json": "json",
     ".yaml": "yaml", ".yml": "yaml", ".toml": "toml", ".ini": "ini", ".sh": "bash", ".ps1": "powershell",
 }
+
+# Markdown headings, section numbers, anchors beside headings, and the openings of fences and table rows.
+HEADING = r"^(#{1,4})\s+(.+)$"
+SECTION_NUMBER = r"^([0-9][A-Z0-9]*(?:\.[A-Z0-9]+)*|[A-Z](?:\.[A-Z0-9]+)+)\s+\S"
+ANCHOR = r'\s*\[(?:#|¶)\]\((?:[^()"]|"[^"]*")*\)(?:\s*"[^"]*")?'
+FENCE = r"^\s*(```|~~~)"
+TABLE_ROW = r"^\s*\|"
+
+# Elements that are no content of a page, and classes that name a language by themselves.
+NOISE_ELEMENTS = ("script", "style", "nav", "footer", "header", "aside", "form", "button", "svg")
+CODE_CLASS = r"(?:language|lang)[-_]([a-z0-9_+-]+)"
+CODE_LANGUAGES = ("python", "cpp", "c", "javascript", "typescript", "bash", "shell", "json", "yaml")

@@ -5,7 +5,11 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-NOISE = frozenset("script style nav footer header aside form button svg".split())
+from . import fixed
+
+NOISE = frozenset(fixed.NOISE_ELEMENTS)
+_DEEPEST = 150  # elements further down are taken as plain text
+_LONG_NUMBER = re.compile(r"&#(?:([xX])([0-9a-fA-F]{7,})|([0-9]{8,}));?")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -60,9 +64,15 @@ class _Builder(HTMLParser):
         self.stack[-1].children.append(data)
 
 
+def _code_point(m: re.Match) -> str:
+    digits = (m[2] or m[3]).lstrip("0")
+    return "\ufffd" if len(digits) > 7 else f"&#{m[1] or ''}{digits or '0'};"
+
+
 def parse(source: str) -> Element:
+    """The tree of a page; character numbers beyond any code point are U+FFFD, whatever their length."""
     b = _Builder()
-    b.feed(source)
+    b.feed(_LONG_NUMBER.sub(_code_point, source))
     b.close()
     return b.root
 
@@ -80,10 +90,13 @@ def main_content(root: Element) -> Element:
 
 
 def code_language(e: Element) -> str:
-    """language-x or lang-x of a class on the element or below it."""
+    """Of the classes of the element and those below it, the first that names a language."""
     for x in e.walk():
-        if m := re.search(r"(?:language|lang)-([\w+#-]+)", x.attrs.get("class", "")):
-            return m[1].lower()
+        for name in x.attrs.get("class", "").lower().split():
+            if m := re.search(fixed.CODE_CLASS, name):
+                return m[1]
+            if name in fixed.CODE_LANGUAGES:
+                return name
     return ""
 
 
@@ -102,10 +115,12 @@ def table_markdown(table: Element, most: int = 30) -> str:
     return "\n".join(lines)
 
 
-def _inline(e: Element | str) -> str:
+def _inline(e: Element | str, depth: int = 0) -> str:
     if isinstance(e, str):
         return re.sub(r"\s+", " ", e)
-    inner = "".join(map(_inline, e.children))
+    if depth > _DEEPEST:
+        return re.sub(r"\s+", " ", e.text())
+    inner = "".join(_inline(c, depth + 1) for c in e.children)
     if e.tag in ("strong", "b") and inner.strip():
         return f"**{inner.strip()}**"
     if e.tag in ("em", "i") and inner.strip():
@@ -133,7 +148,7 @@ def to_markdown(e: Element, depth: int = 0) -> list[str]:
 
     for c in e.children:
         if isinstance(c, str) or c.tag not in _BLOCKS:
-            words.append(_inline(c))
+            words.append(_inline(c, depth))
             continue
         flush()
         if c.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
@@ -143,14 +158,14 @@ def to_markdown(e: Element, depth: int = 0) -> list[str]:
             out.append(f"```{code_language(c)}\n{c.text().strip(chr(10))}\n```")
         elif c.tag == "table":
             out.append(table_markdown(c))
-        elif c.tag in ("ul", "ol"):
+        elif c.tag in ("ul", "ol") and depth < _DEEPEST:
             items = [x for x in c.children if isinstance(x, Element) and x.tag == "li"]
             lines = [f"{'1.' if c.tag == 'ol' else '-'} " + "\n".join(to_markdown(x, depth + 1)).replace("\n", "\n  ") for x in items]
             out.append("\n".join(lines))
-        elif depth < 200:
+        elif depth < _DEEPEST:
             out.extend(to_markdown(c, depth + 1))
         else:
-            words.append(c.text())
+            words.append(re.sub(r"\s+", " ", c.text()))
     flush()
     return out
 

@@ -60,7 +60,7 @@ para
 def test_sections_and_blocks():
     s = markdown.sections(MD)
     assert [x["path"] for x in s] == ["Document", "A", "A > B", "C"]
-    assert [k for k, _ in markdown.blocks(s[2]["body"])] == ["table", "code", "paragraph"]
+    assert [k for k, _, _ in markdown.blocks(s[2]["body"])] == ["table", "code", "paragraph"]
     parents, children = markdown.chunk_document("d", MD)
     assert [p["section"] for p in parents] == ["Document", "A", "A > B"]
     known = {p["parent_id"]: p["section"] for p in parents}
@@ -75,9 +75,9 @@ def test_flat_h1_levels_from_numbers():
 
 def test_windows():
     text = " ".join(f"w{i}" for i in range(900))
-    w = markdown.windows(text, 400, 50)
+    w = [text[a:b] for a, b in markdown.windows(text, 400, 50)]
     assert [markdown.count_tokens(x) for x in w] == [400, 400, 200]
-    assert w[1].startswith("w350 ") and markdown.windows("a b", 400, 50) == ["a b"] and markdown.windows("", 400, 50) == []
+    assert w[1].startswith("w350 ") and markdown.windows("a b", 400, 50) == [(0, 3)] and markdown.windows("", 400, 50) == []
 
 
 def test_normalize_markdown_leaves_code():
@@ -88,3 +88,41 @@ def test_html_markdown():
     h = '<nav>no</nav><main><h1>T</h1><p>a <b>b</b> <a href="u">l</a></p><ul><li>x<li>y</ul><pre><code class="language-py">z\n</code></pre><table><tr><th>h<tr><td>1|2</table></main><footer>no</footer>'
     assert html.html_markdown(h) == "# T\n\na **b** [l](u)\n\n- x\n- y\n\n```py\nz\n```\n\n| h |\n| --- |\n| 1\\|2 |"
     assert html.html_markdown("") == ""
+
+
+def test_headings_and_numbers():
+    got = markdown.headings('# Intro[#](#intro "Link to this heading")\n## [#](#x)\n# 2.1 Setup\n# GPU memory\n# A.1 More\n# 10B.C2 Odd\n# 3. Not a number\n')
+    assert [(level, t) for _, _, level, t in got] == [(1, "Intro"), (2, "2.1 Setup"), (2, "GPU memory"), (2, "A.1 More"), (2, "10B.C2 Odd"), (2, "3. Not a number")]
+    flat = markdown.headings("# Abstract\n# 2 A\n# 2.1 B\n# GPU memory\n# A.1.2 C\n# 3. D\n")
+    assert [(level, t) for _, _, level, t in flat] == [(1, "Abstract"), (1, "2 A"), (2, "2.1 B"), (2, "GPU memory"), (3, "A.1.2 C"), (3, "3. D")]
+
+
+def test_chunks_cover_their_document():
+    """Spans are exact, blocks that are whole stay whole, and every character but headings and space is in a child."""
+    import random
+
+    rng = random.Random(11)
+    parts = ["# One\n", "## Two [#](#t)\n", "### [¶](#x)\n", "plain words here.\n", "\n", "| a | b\n", "  | c |\n", "```py\n# no heading\n| no table |\n```\n", "~~~\nx\n```\n~~~\n", "more text\nand a line\n", "word " * 60 + "\n", "```\nopen fence\n"]
+    for _ in range(300):
+        doc = "".join(rng.choice(parts[:-1] if k < 11 else parts) for k in range(rng.randint(0, 12)))
+        parents, children = markdown.chunk_document("d", doc, most=40, overlap=7, parent_most=100)
+        covered = [False] * len(doc)
+        for c in children:
+            assert doc[c["char_start"] : c["char_end"]] == c["text"]
+            covered[c["char_start"] : c["char_end"]] = [True] * len(c["text"])
+            assert c["is_table"] or c["is_code"] or c["token_count"] <= 40
+        for begin, end, _, _ in markdown.headings(doc):
+            covered[begin:end] = [True] * (end - begin)
+        left = "".join(x for x, ok in zip(doc, covered, strict=True) if not ok)
+        assert not left.strip(), (doc, left)
+        assert all(a["char_end"] <= b["char_start"] for a, b in zip(parents, parents[1:], strict=False))
+        assert all(c["text"].startswith(("```", "~~~")) for c in children if c["is_code"])
+        assert all(x.lstrip().startswith("|") for c in children if c["is_table"] for x in c["text"].split("\n"))
+
+
+def test_html_of_any_depth_and_number():
+    assert html.html_markdown("<span>" * 3000 + "deep") == "deep"
+    assert html.html_markdown("<ul><li>" * 2000 + "deep").endswith("deep")
+    assert html.html_markdown("<div>" * 5000 + "<b>x</b>") in ("x", "**x**")
+    assert html.html_markdown(f"<p>a&#{'1' * 5000};b &#{'0' * 5000}65;</p>") == "a\ufffdb A"
+    assert [html.code_language(html.parse(f'<code class="{c}">')) for c in ("hl Language_Rust", "lang-c++", "x bash", "python3", "sh")] == ["rust", "c++", "bash", "", ""]
