@@ -431,24 +431,52 @@ def _values(kind: str, keys: np.ndarray, parts: int, answers: pa.Table) -> np.nd
     return out
 
 
+class Lookup:
+    """A hash table over distinct keys with vectorised probing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2.5))))
+        self.shift, self.mask = U(64 - bits), (1 << bits) - 1
+        self.key, self.slot, self.values = keys, np.full(1 << bits, -1, np.int32), values
+        wait, h = np.arange(len(keys), dtype=np.int32), self._hash(keys)
+        while len(wait):
+            free = self.slot[h] < 0
+            self.slot[h[free]] = wait[free]
+            left = self.slot[h] != wait
+            wait, h = wait[left], (h[left] + 1) & self.mask
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * U(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Values of keys that are all in the table."""
+        h = self._hash(keys)
+        found = self.slot[h]
+        wrong = np.flatnonzero(self.key[found] != keys)
+        h = h[wrong]
+        while len(wrong):
+            h = (h + 1) & self.mask
+            found[wrong] = self.slot[h]
+            still = self.key[found[wrong]] != keys[wrong]
+            wrong, h = wrong[still], h[still]
+        return self.values[found]
+
+
 def _score(depth: int, parts: int, train: int, types: int, key, texts: pa.Table, answers: pa.Table) -> pa.Table:
     pieces_ = texts.column("payload")
-    known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    table = {}
     for kind in "gw":  # the block's keys once more: cheaper than to send them with the answers
-        keys = np.empty(0, U)
+        keys: list[np.ndarray] = []
         for payload in pieces_:
             c = _unpack(payload.as_buffer(), np.uint8)
-            for x, y in gram_slices(c, depth) if kind == "g" else word_slices(c):
-                keys = np.union1d(keys, distinct(y if kind == "g" else x)[0])
-        known[kind] = keys, _values(kind, keys, parts, answers)
+            keys += [distinct(y if kind == "g" else x)[0] for x, y in (gram_slices(c, depth) if kind == "g" else word_slices(c))]
+            if len(keys) >= 8:
+                keys = [distinct(np.concatenate(keys))[0]]
+        all_keys = distinct(np.concatenate(keys))[0]
+        del keys
+        table[kind] = Lookup(all_keys, _values(kind, all_keys, parts, answers))
     out: list[list] = [[], [], [], [], [], [], []]
     whole = np.log10(train + 0.1 * (types + 1))
-
-    def looked_up(kind: str, of: np.ndarray) -> np.ndarray:
-        keys, values = known[kind]
-        some, at = np.unique(of, return_inverse=True)
-        return values[np.searchsorted(keys, some)][at]
-
     for payload, about in zip(pieces_, texts.column("extra"), strict=True):
         c, about = _unpack(payload.as_buffer(), np.uint8), np.frombuffer(about.as_buffer(), np.uint8)
         n = len(about) // 10
@@ -457,9 +485,9 @@ def _score(depth: int, parts: int, train: int, types: int, key, texts: pa.Table,
         for a, of in gram_slices(c, depth):
             first, last = np.searchsorted(end, (a, a + len(of) - 1))
             begin = np.append(0, end[first:last] + 1 - a)
-            score[first : last + 1] += np.add.reduceat(looked_up("g", of), begin)
+            score[first : last + 1] += np.add.reduceat(table["g"](of), begin)
         for of, doc in word_slices(c):
-            count = looked_up("w", of)
+            count = table["w"](of)
             base += np.bincount(doc, weights=np.log10(count + 0.1) - whole, minlength=n)
             tokens += np.bincount(doc, minlength=n)
             seen += np.bincount(doc, weights=count > 0, minlength=n).astype(np.int64)
