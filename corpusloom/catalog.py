@@ -6,17 +6,17 @@ index terms of the benchmark passages, with the vector of the same number.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import fixed, html, markdown
+from .functions import fixed
 from .functions import text as T
-from .operators import documents, embed, evaluate, index, pages, search, verify, web
+from .operators import documents, embed, evaluate, index, markdown_docs, pages, rerank_cache, response, search, verify, web
 from .plans import agent, hybrid
-from .sources import store
+from .sources import ingest, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -279,7 +279,7 @@ def _packs_sql(k: int, excluded: str = "false") -> str:
     pk AS (SELECT * FROM (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY final_rank) AS final_rank) FROM pd) LEFT JOIN pa USING (parent_id) WHERE final_rank <= {k})"""
 
 
-@register(f"WITH {_packs_sql(5)} SELECT query_id, final_rank::INT AS final_rank, chunk_id, round(rrf_score, 6) AS rrf_score, round(dense_score, 4) AS dense_score, round(bm25_score, 4) AS bm25_score, sha256(coalesce(parent_text, '')) AS parent_sha FROM pk")
+@register(f"WITH {_packs_sql(5)} SELECT query_id, final_rank::INT AS final_rank, chunk_id, round(rrf_score, 6) AS rrf_score, round(coalesce(dense_score, 0), 4) AS dense_score, round(coalesce(bm25_score, 0), 4) AS bm25_score, sha256(coalesce(parent_text, '')) AS parent_sha FROM pk")
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     packs, _ = hybrid.retrieve(_vector_queries(spark, d), _built(spark, d), 5)
     return packs.select("query_id", "final_rank", "chunk_id", "rrf_score", "dense_score", "bm25_score", F.sha2("parent_text", 256).alias("parent_sha"))
@@ -306,16 +306,18 @@ def rank_movement(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.movement(before, search.rerank(before, q, 5))
 
 
+def _gold(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, doc_id): the documents that hold a passage whole; candidates have all its terms."""
+    items = _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    words = search.bm25(items.select("query_id", F.col("passage").alias("text")), *_index(spark, d), n=None).select("query_id", "chunk_id")
+    return words.join(items, "query_id").join(_docs(spark, d).withColumnRenamed("doc_id", "chunk_id"), "chunk_id").where(F.contains("text", "passage")).select("query_id", F.col("chunk_id").alias("doc_id"))
+
+
 @register(f"""WITH {_BM25}, gold AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
     f AS (SELECT query_id, min(rank) AS first FROM (SELECT DISTINCT query_id FROM gold) LEFT JOIN (SELECT bm.query_id, bm.rank FROM bm JOIN gold ON gold.query_id = bm.query_id AND gold.doc_id = bm.chunk_id) USING (query_id) GROUP BY 1)
     SELECT count(*) AS queries, round(avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_k, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM f""")
 def hit_at_k_mrr(spark: SparkSession, d: str) -> DataFrame:
-    # gold pairs by the first 30 characters, then by containment of the whole passage
-    items = _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    hits = _index(spark, d)
-    words = search.bm25(items.select("query_id", F.col("passage").alias("text")), *hits, n=None).select("query_id", "chunk_id")
-    gold = words.join(items, "query_id").join(_docs(spark, d).withColumnRenamed("doc_id", "chunk_id"), "chunk_id").where(F.contains("text", "passage")).select("query_id", F.col("chunk_id").alias("doc_id"))
-    out = evaluate.hit_mrr(search.bm25(_queries(spark, d), *hits), gold, 5)
+    out = evaluate.hit_mrr(search.bm25(_queries(spark, d), *_index(spark, d)), _gold(spark, d), 5)
     return out.withColumn("hit_at_k", F.round("hit_at_k", 6)).withColumn("mrr", F.round("mrr", 6))
 
 
@@ -333,6 +335,28 @@ def rerank_cache_key(spark: SparkSession, d: str) -> DataFrame:
     return search.rerank_key(q, search.bm25(q, *_index(spark, d)))
 
 
+@register(f"WITH {_RERANKED} SELECT query_id, chunk_id, fusion_rank::INT AS fusion_rank, round(score, 6) AS reranker_score, final_rank::INT AS final_rank, query_id % 2 = 0 AS from_cache FROM rr WHERE final_rank <= 5")
+def rerank_cached(spark: SparkSession, d: str) -> DataFrame:
+    """Reranking through the score cache, which the even queries have warmed before."""
+    q = _vector_queries(spark, d)
+    packs, _ = hybrid.retrieve(q, _built(spark, d), 20, hybrid.DEFAULTS.excluded_sections)
+    path = f"{store.shared_folder(spark)}/corpusloom/rerank-{uuid.uuid4().hex}"
+    rerank_cache.warm(packs.where("query_id % 2 = 0"), q.where("query_id % 2 = 0"), path)
+    out = rerank_cache.rerank(packs, q, path)
+    return out.select("query_id", "chunk_id", "fusion_rank", F.round("reranker_score", 6).alias("reranker_score"), "final_rank", "from_cache")
+
+
+@register(f"""WITH {_RERANKED}, gold AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+    a AS (SELECT query_id, min(CASE WHEN chunk_id = doc_id THEN fusion_rank END) AS x, min(CASE WHEN chunk_id = doc_id AND final_rank <= 5 THEN final_rank END) AS y FROM gold LEFT JOIN rr USING (query_id) GROUP BY 1),
+    m AS (SELECT count(*) AS queries, avg(CASE WHEN x <= 5 THEN 1.0 ELSE 0.0 END) AS hb, avg(CASE WHEN y <= 5 THEN 1.0 ELSE 0.0 END) AS ha, avg(coalesce(1.0 / x, 0)) AS mb, avg(coalesce(1.0 / y, 0)) AS ma FROM a)
+    SELECT queries, round(hb, 6) AS hit_before, round(ha, 6) AS hit_after, round(mb, 6) AS mrr_before, round(ma, 6) AS mrr_after, round(ha - hb, 6) AS hit_delta, round(ma - mb, 6) AS mrr_delta FROM m""")
+def rerank_deltas(spark: SparkSession, d: str) -> DataFrame:
+    q, at = _vector_queries(spark, d), _built(spark, d)
+    before, _ = hybrid.retrieve(q, at, 20, hybrid.DEFAULTS.excluded_sections)
+    out = evaluate.deltas(before, search.rerank(before, q, 5), _gold(spark, d))
+    return out.select("queries", *[F.round(c, 6).alias(c) for c in out.columns if c != "queries"])
+
+
 # ---- text -----------------------------------------------------------------------------------------------------------
 
 _DIRTY = "concat(text, '\\r\\n\\r\\n\\r\\nexam-\\n  ple \\u200bend\\u00adof ', chr(64257), 'le \\t\\n\\n')"
@@ -398,37 +422,59 @@ def token_windows(spark: SparkSession, d: str) -> DataFrame:
     return at.select("doc_id", "chunk_index", F.size(part).alias("n_tokens"), F.sha2(F.array_join(part, " "), 256).alias("sha"))
 
 
-def chunk_rows(docs: DataFrame) -> DataFrame:
-    """documents (doc_id, content_md) -> children of the Markdown chunker."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["chunk_id", "parent_id", "doc_id", "section", "text", "token_count", "chunk_index", "parent_idx", "is_table", "is_code"]
-        kinds = [pa.string()] * 5 + [pa.int32()] * 3 + [pa.bool_()] * 2
-        for t in batches:
-            rows = [c for i, x in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True) for c in markdown.chunk_document(str(i), x or "")[1]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
-
-    return docs.select("doc_id", "content_md").mapInArrow(run, "chunk_id string, parent_id string, doc_id string, section string, text string, token_count int, chunk_index int, parent_idx int, is_table boolean, is_code boolean")
+_CHUNK_N = f"len(regexp_extract_all(text, '{_COUNTED}'))"
+
+
+@register(f"""SELECT doc_id::VARCHAR AS doc_id, doc_id % 10 <> 3 AND doc_id % 10 <> 7 AS ok, CASE WHEN doc_id % 10 = 3 THEN 'missing content' WHEN doc_id % 10 = 7 THEN 'missing title' END AS error, CASE WHEN doc_id % 10 <> 3 THEN length(text) END::INT AS content_chars,
+    CASE WHEN doc_id % 10 IN (3, 7) OR trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 0 ELSE 1 END::BIGINT AS parent_count,
+    CASE WHEN doc_id % 10 IN (3, 7) OR trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 0 WHEN {_CHUNK_N} <= 400 THEN 1 ELSE 1 + ceil(({_CHUNK_N} - 400) / 350.0) END::BIGINT AS child_count FROM documents""")
+def chunk_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The chunk driver over all documents, some of them without content or title."""
+    rest = F.col("doc_id") % 10
+    docs = _docs(spark, d).select("doc_id", F.when(rest != 7, F.col("lang")).alias("title"), F.lit(None).cast("string").alias("source_url"), F.when(rest != 3, F.col("text")).alias("content_md"))
+    return ingest.chunk_all(docs)[2]
+
+
+def _raw_files(spark: SparkSession, d: str) -> DataFrame:
+    """The pages as raw documents of all kinds, some with faults: (doc_id, name, content)."""
+    p = _read(spark, d, "pages").select(F.col("page_id").cast("string").alias("doc_id"), (F.col("page_id") % 8).alias("k"), "page_id", "url", "html")
+    meta = lambda kind: F.to_json(F.struct(F.lit(kind).alias("kind"), F.struct(F.concat(F.lit("T"), "doc_id").alias("title"), F.col("url").alias("url")).alias("seed")))
+    file = lambda name, text: F.struct(F.lit(name).alias("name"), text.alias("text"))
+    page = F.col("html")
+    kinds = [
+        F.array(file("meta.json", meta("docs")), file("page.html", page)),
+        F.array(file("meta.json", meta("github")), file("b.py", page), file("README.md", F.col("url"))),
+        F.array(file("page.html", page)),
+        F.array(file("meta.json", F.lit("{broken")), file("page.html", page)),
+        F.array(file("meta.json", meta("paper")), file("page.txt", F.concat(F.lit("A running head\nfirst words of it\f"), F.lit("A running head\nmore wor-\nds of it")))),
+        F.array(file("meta.json", meta("paper"))),
+        F.array(file("meta.json", meta("docs")), file("notes.md", F.concat(F.lit("## From notes\n\n"), F.col("url"))), file("readme.md", F.lit("not this"))),
+        F.array(file("meta.json", meta("")), file("a.htm", page), file("x.html", F.lit(""))),
+    ]
+    files = p.select("doc_id", F.explode(F.element_at(F.array(*kinds), (F.col("k") + 1).cast("int"))).alias("f"))
+    return files.select("doc_id", "f.name", F.encode("f.text", "utf-8").alias("content"))
+
+
+@register("""SELECT page_id::VARCHAR AS doc_id, CASE page_id % 8 WHEN 0 THEN 'docs' WHEN 1 THEN 'github' WHEN 2 THEN 'unknown' WHEN 3 THEN 'unknown' WHEN 4 THEN 'pdf' WHEN 5 THEN 'pdf' ELSE 'docs' END AS kind, page_id % 8 NOT IN (2, 3, 5) AS ok,
+    CASE page_id % 8 WHEN 2 THEN 'missing meta.json' WHEN 3 THEN 'meta.json is no JSON object' WHEN 5 THEN 'no text of pages' END AS error, CASE page_id % 8 WHEN 0 THEN 'html' WHEN 1 THEN 'files' WHEN 4 THEN 'pages' WHEN 6 THEN 'md' WHEN 7 THEN 'md' END AS method,
+    CASE page_id % 8 WHEN 4 THEN sha256('# T' || page_id || chr(10) || '**Doc ID:** ' || page_id || chr(10) || '**Source:** ' || url || chr(10) || chr(10) || 'first words of it' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'more words of it')
+        WHEN 6 THEN sha256('# T' || page_id || chr(10) || '**Doc ID:** ' || page_id || chr(10) || '**Source:** ' || url || chr(10) || chr(10) || '## From notes' || chr(10) || chr(10) || url) END AS sha FROM pages""")
+def process_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The process driver over raw documents of every kind and fault; the whole content of pages and snapshots by hash."""
+    out = ingest.process_all(_raw_files(spark, d))
+    known = F.col("method").isin("pages", "md") & (F.col("doc_id").cast("long") % 8 != 7)
+    return out.select("doc_id", "kind", "ok", "error", "method", F.when(known, F.sha2("content_md", 256)).alias("sha"))
 
 
 @register()
 def chunk_children(spark: SparkSession, d: str) -> DataFrame:
     md = F.concat(F.lit("# Title\n\n"), F.col("text"), F.lit("\n\n## Data\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n```py\n# no heading\n```\n"))
-    return chunk_rows(_docs(spark, d).select("doc_id", md.alias("content_md")))
-
-
-def html_rows(pages_: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            md = [markdown.normalize_markdown(html.html_markdown(x or "")) for x in t.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([t.column(0), pa.array(md, pa.string())], ["page_id", "content_md"])
-
-    return pages_.select("page_id", "html").mapInArrow(run, "page_id long, content_md string")
+    return markdown_docs.chunk_rows(_docs(spark, d).select("doc_id", md.alias("content_md")))
 
 
 @register()
 def html_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return html_rows(_read(spark, d, "pages"))
+    return markdown_docs.html_rows(_read(spark, d, "pages"))
 
 
 _REPEATED = """ln AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents), s AS (SELECT *, trim(line) AS s FROM ln),
@@ -611,6 +657,19 @@ def used_citations(spark: SparkSession, d: str) -> DataFrame:
     return verify.used_citations(_cites(spark, d), _answers(spark, d)).select("request_id", "citation_id")
 
 
+@register(f"""WITH {_ANSWERS}, {_GROUND}, {_NUMERIC}, c AS (SELECT request_id, list_distinct(regexp_extract_all(answer, '\\[([0-9]+)\\]', 1)) AS ids FROM an), k AS (SELECT request_id, count(*) AS n FROM gr GROUP BY 1), m AS (SELECT request_id, count(*) AS n FROM nf GROUP BY 1)
+    SELECT request_id, 3 AS n_citations, array_to_string(list_filter(['1', '2', '3'], lambda x: list_contains(ids, x)), ',') AS used, round(len(ids) / 3, 3) AS citation_density,
+        'weak|citation_validator: unknown ids ' || array_to_string(list_sort(list_filter(ids, lambda x: x NOT IN ('1', '2', '3'))), ',') AS warnings, 3 AS steps, coalesce(k.n, 0) + coalesce(m.n, 0) AS checks_run FROM c LEFT JOIN k USING (request_id) LEFT JOIN m USING (request_id)""".replace(_ANSWERS + ", " + _GROUND, _GROUND))
+def answer_response(spark: SparkSession, d: str) -> DataFrame:
+    """The mapping of answers and evidence to the rows that a service returns."""
+    calls = F.array(F.struct(F.lit("search").alias("tool"), F.lit(12).alias("ms"), F.lit("a query").alias("input"), F.lit(3).alias("n")))
+    answers = _answers(spark, d).select("request_id", "answer", F.lit("internal").alias("intent"), F.lit("weak").alias("grade"), F.lit(1).alias("retries"), F.array(F.lit("weak")).alias("warnings"), calls.alias("calls"))
+    packs = _cites(spark, d).drop("citation_id", "footnote_label").join(_sources(spark, d).select("request_id", F.col("citation_id").cast("int").alias("final_rank"), F.col("source").alias("child_text")), ["request_id", "final_rank"])
+    packs = packs.withColumn("parent_text", F.lit("")).withColumn("reranker_score", F.lit(0.5)).withColumn("rrf_score", F.lit(0.1)).withColumn("chunk_id", F.concat(F.lit("c"), F.col("final_rank").cast("string")))
+    r = response.responses(answers, packs)
+    return r.select("request_id", F.size("citations").alias("n_citations"), F.array_join(F.transform("used_sources", lambda x: F.substring(x["chunk_id"], 2, 9)), ",").alias("used"), "citation_density", F.array_join("warnings", "|").alias("warnings"), F.size("trace").alias("steps"), F.col("self_check.checks_run").alias("checks_run"))
+
+
 # ---- answer loop ----------------------------------------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import catalog
-from .operators import embed, index, search
+from .operators import embed, index, markdown_docs, search
 from .plans import hybrid
 from .sources import store
 
@@ -62,9 +62,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if o.command == "run":
         _show(catalog.QUERIES[a[0]](spark, a[1]), o.json, o.top_n)
     elif o.command == "process":
-        catalog.html_rows(spark.read.parquet(a[0])).write.mode("overwrite").parquet(a[1])
+        markdown_docs.html_rows(spark.read.parquet(a[0])).write.mode("overwrite").parquet(a[1])
     elif o.command == "chunk":
-        catalog.chunk_rows(spark.read.parquet(a[0])).write.mode("overwrite").parquet(a[1])
+        markdown_docs.chunk_rows(spark.read.parquet(a[0])).write.mode("overwrite").parquet(a[1])
     elif o.command == "index-build":
         build_index(spark.read.parquet(a[0]), a[1])
     else:

@@ -55,10 +55,17 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), F.sum("dl").alias("total"))
 
 
-def upsert_status(new: DataFrame, old: DataFrame, key: str = "chunk_id", sha: str = "content_sha") -> DataFrame:
-    """new with status inserted, updated or skipped against the hashes of old; of rows with equal keys the last hash stays."""
-    last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(sha)))
-    once = new.withColumn("_rn", last).where("_rn = 1").drop("_rn")
+def last_rows(new: DataFrame, key: str = "chunk_id", order: Column | None = None) -> DataFrame:
+    """Of rows with equal keys the one with the greatest `order`; by default the last one as the rows are read."""
+    at = F.monotonically_increasing_id() if order is None else order
+    numbered = new.withColumn("_at", at)
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_at")))
+    return numbered.withColumn("_rn", rank).where("_rn = 1").drop("_rn", "_at")
+
+
+def upsert_status(new: DataFrame, old: DataFrame, key: str = "chunk_id", sha: str = "content_sha", order: Column | None = None) -> DataFrame:
+    """new with status inserted, updated or skipped against the hashes of old; of rows with equal keys the last one counts."""
+    once = last_rows(new, key, order)
     known = old.select(F.col(key).alias("_key"), F.col(sha).alias("_sha"))
     status = F.when(F.col("_key").isNull(), "inserted").when(F.col("_sha") == F.col(sha), "skipped").otherwise("updated")
     return once.join(known, once[key] == F.col("_key"), "left").withColumn("status", status).drop("_key", "_sha")

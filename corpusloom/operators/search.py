@@ -93,10 +93,17 @@ def dense(queries: DataFrame, vectors: DataFrame, n: int = 20, threshold: float
                 s[~np.isfinite(s) | (qi[:, None] == vi[None, :])] = -np.inf
                 if threshold > 0:
                     s[s < threshold] = -np.inf
-                for i in range(len(qi)):
-                    at = np.lexsort((vi, -s[i]))[:n]
-                    at = at[np.isfinite(s[i, at])]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), qi[i])), pa.array(vi[at]), pa.array(s[i, at])], ["query_id", "chunk_id", "score"])
+                if s.shape[1] > n:  # all that reach the n-th best score of their query
+                    edge = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
+                    i, j = np.nonzero((s >= edge[:, None]) & (s > -np.inf))
+                else:
+                    i, j = np.nonzero(s > -np.inf)
+                order = np.lexsort((vi[j], -s[i, j], i))
+                i, j = i[order], j[order]
+                top = np.arange(len(i)) - np.searchsorted(i, i) < n
+                if top.any():
+                    i, j = i[top], j[top]
+                    yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(vi[j]), pa.array(s[i, j])], ["query_id", "chunk_id", "score"])
 
     return ranked(pairs.mapInArrow(run, "query_id long, chunk_id long, score double"), n, F.desc("score"), F.asc("chunk_id"))
 
@@ -117,13 +124,14 @@ def dense_lsh(queries: DataFrame, vectors: DataFrame, n: int = 20, bucket: float
 
 
 def rrf(dense_hits: DataFrame, bm25_hits: DataFrame, k: int = 60, dense_weight: float = 1.0, bm25_weight: float = 1.0) -> DataFrame:
-    """Fusion by reciprocal ranks; ties by dense rank, then BM25 rank, then id."""
+    """Fusion by reciprocal ranks; ties by dense rank, then BM25 rank, then id. A score that a chunk does not have is 0."""
     d = dense_hits.select("query_id", "chunk_id", F.col("score").alias("dense_score"), F.col("rank").alias("dense_rank"))
     b = bm25_hits.select("query_id", "chunk_id", F.col("score").alias("bm25_score"), F.col("rank").alias("bm25_rank"))
     both = d.join(b, ["query_id", "chunk_id"], "full_outer")
     part = lambda w, r: F.coalesce(F.lit(float(w)) / (k + F.col(r)), F.lit(0.0))
     both = both.withColumn("rrf_score", part(dense_weight, "dense_rank") + part(bm25_weight, "bm25_rank"))
     both = both.withColumn("in_dense", F.col("dense_rank").isNotNull()).withColumn("in_bm25", F.col("bm25_rank").isNotNull()).withColumn("in_both", F.col("in_dense") & F.col("in_bm25"))
+    both = both.na.fill(0.0, ["dense_score", "bm25_score"])
     return ranked(both, None, F.desc("rrf_score"), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("bm25_rank"), F.asc("chunk_id"), name="final_rank")
 
 

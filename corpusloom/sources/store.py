@@ -23,6 +23,23 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Remove a file or folder with all in it; whether it was there."""
+    p, fs = _path(spark, path)
+    return fs.delete(p, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan with fewer partitions than the cluster has cores is dealt out; one file may be a single row group."""
     spark = df.sparkSession
@@ -32,15 +49,21 @@ def spread(df: DataFrame) -> DataFrame:
 
 def fingerprint(spark: SparkSession, path: str) -> tuple:
     """Name, length and time of every file of a table: another one once the table is written anew."""
-    sc = spark.sparkContext
-    p = sc._jvm.org.apache.hadoop.fs.Path(path)
-    files, out = p.getFileSystem(sc._jsc.hadoopConfiguration()).listFiles(p, True), []
+    p, fs = _path(spark, path)
+    files, out = fs.listFiles(p, True), []
     while files.hasNext():
         f = files.next()
         out.append((str(f.getPath()), f.getLen(), f.getModificationTime()))
     return tuple(sorted(out))
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table below the shared folder: computed once, whatever is written to what it was read from."""
+    at = f"{shared_folder(df.sparkSession)}/corpusloom/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 _kept: dict[tuple, dict[str, str]] = {}
 
 
