@@ -1,7 +1,9 @@
 """Command line: python -m corpusloom.cli COMMAND …
 
-list; run NAME DIR; process PAGES OUT; chunk DOCS OUT; index-build CHUNKS OUT; index-info INDEX; bm25-query INDEX TEXT;
-index-query INDEX TEXT; hybrid-query INDEX TEXT. Results are tables, or JSON lines with --json.
+list; run NAME DIR; process RAW OUT; chunk PROCESSED OUT; index-build CHUNKS OUT; index-info INDEX; bm25-info INDEX;
+bm25-query INDEX TEXT; index-query INDEX TEXT; hybrid-query INDEX TEXT; rerank-query INDEX TEXT; agent-query INDEX TEXT;
+eval INDEX QUERIES GOLD (tables of query_id, text and of query_id, doc_id, where doc_id is a chunk). process and chunk take
+--force and --limit, process also --only KIND. Results are tables, or JSON lines with --json.
 """
 
 from __future__ import annotations
@@ -12,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import catalog
-from .operators import embed, index, markdown_docs, search
-from .plans import hybrid
-from .sources import store
+from .operators import embed, evaluate, index, search
+from .plans import agent, hybrid
+from .sources import ingest, store
 
 
 def _show(df: DataFrame, as_json: bool, n: int) -> None:
@@ -49,9 +51,12 @@ def load_index(spark: SparkSession, at: str) -> hybrid.Index:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     p = argparse.ArgumentParser(prog="corpusloom", description=__doc__)
-    p.add_argument("command", choices=["list", "run", "process", "chunk", "index-build", "index-info", "bm25-query", "index-query", "hybrid-query"])
+    p.add_argument("command", choices=["list", "run", "process", "chunk", "index-build", "index-info", "bm25-info", "bm25-query", "index-query", "hybrid-query", "rerank-query", "agent-query", "eval"])
     p.add_argument("args", nargs="*")
     p.add_argument("--json", action="store_true")
+    p.add_argument("--force", action="store_true")
+    p.add_argument("--only")
+    p.add_argument("--limit", type=int, default=0)
     p.add_argument("--top-n", type=int, default=10)
     o = p.parse_args(argv)
     if o.command == "list":
@@ -62,9 +67,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if o.command == "run":
         _show(catalog.QUERIES[a[0]](spark, a[1]), o.json, o.top_n)
     elif o.command == "process":
-        markdown_docs.html_rows(spark.read.parquet(a[0])).write.mode("overwrite").parquet(a[1])
+        done = ingest.process(spark, a[0], a[1], force=o.force, only=o.only, limit=o.limit)
+        _show(done.select("doc_id", "kind", "ok", "error", "content_chars").orderBy("doc_id"), o.json, o.top_n)
     elif o.command == "chunk":
-        markdown_docs.chunk_rows(spark.read.parquet(a[0])).write.mode("overwrite").parquet(a[1])
+        _show(ingest.chunk(spark, a[0], a[1], o.force, o.limit).orderBy("doc_id"), o.json, o.top_n)
     elif o.command == "index-build":
         build_index(spark.read.parquet(a[0]), a[1])
     else:
@@ -72,11 +78,32 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         if o.command == "index-info":
             _show(at.chunks.agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("documents")), o.json, 1)
             return
+        if o.command == "bm25-info":
+            terms = at.postings.agg(F.count_distinct("term").alias("terms"), F.count("*").alias("postings"), F.sum("tf").alias("occurrences"))
+            _show(at.stats.join(terms, how="cross"), o.json, 1)  # one row each
+            return
+        if o.command == "eval":
+            queries, gold = spark.read.parquet(a[1]).select("query_id", "text"), spark.read.parquet(a[2])
+            before, _ = hybrid.retrieve(embed.embed_queries(queries), at, hybrid.DEFAULTS.top_n, hybrid.DEFAULTS.excluded_sections)
+            _show(evaluate.deltas(before, search.rerank(before, queries, hybrid.DEFAULTS.keep_k), gold), o.json, 1)
+            return
         queries = spark.createDataFrame([(-1, a[1])], "query_id long, text string")
         if o.command == "bm25-query":
             _show(search.bm25(queries, at.postings, at.lengths, at.stats, o.top_n), o.json, o.top_n)
         elif o.command == "index-query":
             _show(search.dense(embed.embed_queries(queries), at.vectors, o.top_n), o.json, o.top_n)
+        elif o.command == "rerank-query":
+            packs, _ = hybrid.retrieve_and_rerank(embed.embed_queries(queries), at)
+            _show(packs.select("final_rank", "fusion_rank", "chunk_id", "reranker_score", "child_text").orderBy("final_rank"), o.json, o.top_n)
+        elif o.command == "agent-query":
+            asked = queries.select(F.col("query_id").alias("request_id"), F.col("text").alias("query"), F.lit(False).alias("use_web"))
+
+            def find(todo: DataFrame) -> DataFrame:
+                numbered = todo.select(F.col("request_id").alias("query_id"), F.col("query").alias("text"))
+                return hybrid.retrieve_and_rerank(embed.embed_queries(numbered), at)[0].withColumnRenamed("query_id", "request_id").withColumn("source_type", F.lit("internal"))
+
+            store.shared_folder(spark)  # the loop's checkpoints go there
+            _show(agent.answer(asked, find), o.json, 1)
         else:
             packs, _ = hybrid.retrieve(embed.embed_queries(queries), at, o.top_n)
             _show(packs.orderBy("final_rank"), o.json, o.top_n)
