@@ -120,27 +120,35 @@ def _survivors(q: np.ndarray, x: np.ndarray, least: np.ndarray, cutoff: np.ndarr
     A slice's scores are computed for whole blocks while many pairs are left, and pair by pair when few are.
     """
     cut = np.array_split(np.arange(q.shape[1]), nodes)
-    long = [(np.sqrt((q[:, c].astype(np.float64) ** 2).sum(axis=1)), np.sqrt((x[:, c].astype(np.float64) ** 2).sum(axis=1))) for c in cut]
+    q_long, x_long = (np.stack([np.sqrt((m[:, c].astype(np.float64) ** 2).sum(axis=1)) for c in cut]) for m in (q, x))
     exact = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] < 2**53
     kind = np.float64 if exact else np.int64
     qs, xs = q.astype(kind), x.astype(kind)
-    i, j = np.nonzero(alive)
-    total, seen = np.zeros(len(i), np.int64), np.zeros(len(i), bool)
-    for node, c in enumerate(cut):
-        if not len(i):
-            break
-        if 4 * len(i) > q.shape[0] * x.shape[0]:
-            score = (qs[:, c] @ xs[:, c].T)[i, j].astype(np.int64)
-        else:
-            score = np.empty(len(i), np.int64)
-            for a in range(0, len(i), 1 << 16):
-                score[a : a + (1 << 16)] = np.einsum("pc,pc->p", qs[i[a : a + (1 << 16)]][:, c], xs[j[a : a + (1 << 16)]][:, c])
+    enough = cutoff + least.sum(axis=1)
+    enough -= np.abs(enough) * 1e-12 + nodes  # sums of large doubles are rounded
+    share = cutoff / nodes - np.abs(cutoff) * 1e-12 - 1
+    total, seen = np.zeros(alive.shape, kind), np.zeros(alive.shape, bool)
+    node = 0
+    while node < nodes:
+        score = qs[:, cut[node]] @ xs[:, cut[node]].T
         total += score
-        seen |= score - least[i, node] >= cutoff[i] / nodes
-        rest = sum((np.ceil(a[i] * b[j] * (1 + 1e-9)) - least[i, n] for n, (a, b) in enumerate(long) if n > node), np.zeros(len(i)))
-        keep = total - least[i, : node + 1].sum(axis=1) + rest >= cutoff[i]
-        if node == nodes - 1:
-            keep &= seen
+        seen |= score >= (share + least[:, node])[:, None]
+        node += 1
+        rest = (q_long[node:].T @ x_long[node:]) * (1 + 1e-9) if node < nodes else 0.0
+        alive = alive & (total + rest >= enough[:, None])
+        if 16 * np.count_nonzero(alive) < alive.size:
+            break
+    if node == nodes:
+        alive &= seen
+    i, j = np.nonzero(alive)
+    total, seen = total[i, j].astype(np.int64), seen[i, j]
+    for later in range(node, nodes):
+        score = np.empty(len(i), np.int64)
+        for a in range(0, len(i), 1 << 16):
+            score[a : a + (1 << 16)] = np.einsum("pc,pc->p", qs[i[a : a + (1 << 16)]][:, cut[later]], xs[j[a : a + (1 << 16)]][:, cut[later]])
+        total, seen = total + score, seen | (score >= share[i] + least[i, later])
+        rest = sum((q_long[n, i] * x_long[n, j] * (1 + 1e-9) for n in range(later + 1, nodes)), np.zeros(len(i)))
+        keep = (total + rest >= enough[i]) & (seen if later == nodes - 1 else True)
         i, j, total, seen = i[keep], j[keep], total[keep], seen[keep]
     return i, j, total
 
