@@ -8,10 +8,12 @@ that a source ends with one fractional document for each size class; these few a
 as to lessen the error so far. The words taken from a source thus miss its target by about a small document's size.
 
 Groups are formed by a hash, `fan` documents on average, whatever the size of the source: a source with a third of all
-rows has as many more groups. Chance comes from hashes of the documents, so that reruns agree.
+rows has as many more groups. Chance comes from hashes of the documents, so that reruns agree. Equal rows are one item with
+a multiplicity: all their copies but a fraction are whole, the fraction is rounded as one document's, and the copies are
+dealt to the rows as evenly as can be; so equal rows, however many, never meet in one group.
 
 Cases: null, empty and white-space texts have size 0 and no words are taken of them; a null source is one source, ordered
-last; repeated rows are rounded each by itself; an empty table gives an empty result; a null doc_id is carried along.
+last; an empty table gives an empty result; a null doc_id is carried along.
 Extra columns are ignored.
 """
 
@@ -67,16 +69,16 @@ def _chance(level: int) -> str:
 
 
 def _round(groups: DataFrame, level: int) -> DataFrame:
-    """One level: items (key, doc_id, size, x) of a group folded into finished ones and one left over."""
-    item = "struct<key:bigint,doc_id:bigint,size:bigint,x:double>"
-    start = f"named_struct('done', cast(array() as array<{item}>), 'key', cast(null as bigint), 'doc_id', cast(null as bigint), 'size', cast(null as bigint), 'x', cast(null as double))"
+    """One level: items (key, doc_id, size, m, x) of a group folded into finished ones and one left over."""
+    item = "struct<key:bigint,doc_id:bigint,size:bigint,m:bigint,x:double>"
+    start = f"named_struct('done', cast(array() as array<{item}>), 'key', cast(null as bigint), 'doc_id', cast(null as bigint), 'size', cast(null as bigint), 'm', cast(null as bigint), 'x', cast(null as double))"
     # up: the words that the left-over can gain from d; down: those that it can lose to d
     up, down = "least((1 - acc.x) * acc.size, d.x * d.size)", "least(acc.x * acc.size, (1 - d.x) * d.size)"
     gains = f"{_chance(level)} * ({up} + {down}) < {down}"
-    own = lambda x: f"named_struct('key', acc.key, 'doc_id', acc.doc_id, 'size', acc.size, 'x', {x})"
-    new = lambda x: f"named_struct('key', d.key, 'doc_id', d.doc_id, 'size', d.size, 'x', {x})"
-    left = lambda done, who, x: f"named_struct('done', array_append(acc.done, {done}), 'key', {who}.key, 'doc_id', {who}.doc_id, 'size', {who}.size, 'x', {x})"
-    step = f"""case when acc.key is null then named_struct('done', acc.done, 'key', d.key, 'doc_id', d.doc_id, 'size', d.size, 'x', d.x)
+    own = lambda x: f"named_struct('key', acc.key, 'doc_id', acc.doc_id, 'size', acc.size, 'm', acc.m, 'x', {x})"
+    new = lambda x: f"named_struct('key', d.key, 'doc_id', d.doc_id, 'size', d.size, 'm', d.m, 'x', {x})"
+    left = lambda done, who, x: f"named_struct('done', array_append(acc.done, {done}), 'key', {who}.key, 'doc_id', {who}.doc_id, 'size', {who}.size, 'm', {who}.m, 'x', {x})"
+    step = f"""case when acc.key is null then named_struct('done', acc.done, 'key', d.key, 'doc_id', d.doc_id, 'size', d.size, 'm', d.m, 'x', d.x)
         when {gains} then case when (1 - acc.x) * acc.size <= d.x * d.size then {left(own("1D"), "d", f"d.x - {up} / d.size")} else {left(new("0D"), "acc", f"acc.x + {up} / acc.size")} end
         else case when acc.x * acc.size <= (1 - d.x) * d.size then {left(own("0D"), "d", f"d.x + {down} / d.size")} else {left(new("1D"), "acc", f"acc.x - {down} / acc.size")} end end"""
     return groups.select("source", "cls", "n", F.expr(f"aggregate(items, {start}, (acc, d) -> {step})").alias("r"))
@@ -84,9 +86,9 @@ def _round(groups: DataFrame, level: int) -> DataFrame:
 
 def _settle(left: DataFrame) -> DataFrame:
     """The last few of a source, one for each size class: from the largest down, each rounded to lessen the error so far."""
-    items = left.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "key", "doc_id", "x")), asc=False).alias("items"))
-    item = "struct<key:bigint,doc_id:bigint,size:bigint,x:double>"
-    put = lambda x: f"array_append(acc.done, named_struct('key', d.key, 'doc_id', d.doc_id, 'size', d.size, 'x', {x}))"
+    items = left.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "key", "doc_id", "m", "x")), asc=False).alias("items"))
+    item = "struct<key:bigint,doc_id:bigint,size:bigint,m:bigint,x:double>"
+    put = lambda x: f"array_append(acc.done, named_struct('key', d.key, 'doc_id', d.doc_id, 'size', d.size, 'm', d.m, 'x', {x}))"
     more, less = "acc.err + (1 - d.x) * d.size", "acc.err - d.x * d.size"
     step = f"case when abs({more}) < abs({less}) then named_struct('done', {put('1D')}, 'err', {more}) else named_struct('done', {put('0D')}, 'err', {less}) end"
     folded = items.select("source", F.expr(f"aggregate(items, named_struct('done', cast(array() as array<{item}>), 'err', 0D), (acc, d) -> {step})").alias("r"))
@@ -94,30 +96,40 @@ def _settle(left: DataFrame) -> DataFrame:
 
 
 def copies(sized: DataFrame, sources: DataFrame, fan: int) -> DataFrame:
-    """sized (key, doc_id, source, size), sources (source, source_size, target) -> with source_size, target, copies."""
+    """sized (key, doc_id, source, size, m), sources (source, source_size, target) -> with source_size, target, and copies of all m."""
     s = sources.withColumnRenamed("source", "_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    all_ = sized.join(s, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("x", rate - F.floor(rate))
+    all_ = sized.join(s, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("x", F.col("m") * rate - F.floor(F.col("m") * rate))
     fractional = (F.col("x") > 0) & (F.col("size") > 0)
-    live = all_.where(fractional).select("source", "key", "doc_id", "size", "x", F.floor(F.log2("size")).alias("cls"))
+    live = all_.where(fractional).select("source", "key", "doc_id", "size", "m", "x", F.floor(F.log2("size")).alias("cls"))
     counts = saved(live.groupBy("source", "cls").agg(F.count("*").alias("n")), "classes")
     most = counts.agg(F.max("n")).first()[0] or 0
     counts = counts.withColumnsRenamed({"source": "_source", "cls": "_cls"})
     live = live.join(counts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("cls") == F.col("_cls"))).drop("_source", "_cls")
-    rounded = all_.where(~fractional).select("source", "key", "doc_id", "size", F.lit(0.0).alias("x"))
+    rounded = all_.where(~fractional).select("source", "key", "doc_id", "size", "m", F.lit(0.0).alias("x"))
     level = 0
     while most > 1:  # ends with one item for each source and class
         groups = live.withColumn("group", F.pmod(F.xxhash64("key", F.lit(level)), F.ceil(F.col("n") / fan ** (level + 1))))
-        groups = groups.groupBy("source", "cls", "n", "group").agg(F.sort_array(F.collect_list(F.struct("key", "doc_id", "size", "x"))).alias("items"))
+        groups = groups.groupBy("source", "cls", "n", "group").agg(F.sort_array(F.collect_list(F.struct("key", "doc_id", "size", "m", "x"))).alias("items"))
         out = saved(_round(groups, level), "pivot")
         rounded = rounded.unionByName(out.select("source", F.explode("r.done").alias("d")).select("source", "d.*"))
-        live = out.select("source", "r.key", "r.doc_id", "r.size", "r.x", "cls", "n")
+        live = out.select("source", "r.key", "r.doc_id", "r.size", "r.m", "r.x", "cls", "n")
         level += 1
         if most <= fan**level:
             break
     rounded = rounded.unionByName(_settle(live))
-    whole = s.select("_source", "source_size", "target", F.floor(rate).cast("long").alias("whole"))
-    return rounded.join(whole, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("copies", (F.col("whole") + F.col("x")).cast("long"))
+    whole = s.select("_source", "source_size", "target", rate.alias("rate"))
+    out = rounded.join(whole, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    return out.withColumn("copies", (F.floor(F.col("m") * F.col("rate")) + F.col("x")).cast("long")).drop("rate")
+
+
+def _dealt(items: DataFrame, most: int = 10_000) -> DataFrame:
+    """items with the copies of all their m equal rows -> a row for each of the m with its own; very many in parts."""
+    one = items.where("m = 1").drop("m", "x")
+    many = items.where("m > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / most))))
+    many = many.repartition("key", "part").withColumn("row", F.explode(F.sequence(F.col("part") * most, F.least((F.col("part") + 1) * most, F.col("m")) - 1)))
+    many = many.withColumn("copies", F.floor(F.col("copies") / F.col("m")) + (F.col("row") < F.col("copies") % F.col("m")).cast("long"))
+    return one.unionByName(many.select(*one.columns))
 
 
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, fan: int = 128) -> DataFrame:
@@ -130,7 +142,8 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float =
     sized = saved(sized, "sized")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = saved(targets(sources, weights, share, most), "targets")
-    out = copies(sized, sources, fan)
+    equal = sized.groupBy("key", "doc_id", "source", "size").agg(F.count("*").alias("m"))
+    out = _dealt(saved(copies(equal, sources, fan), "copies"))
     return out.select("key", "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 

@@ -317,6 +317,25 @@ def test_mixing_targets_and_copies(spark):
     assert copies.columns == df.columns and copies.count() == sum(r.copies for r in got)
 
 
+def test_mixing_many_equal_rows(spark):
+    """Equal rows, a third of all, are one item; each row gets the floor or the ceiling of its share."""
+    rows = [(i, "w " * (i % 40 + 1)) for i in range(400)] + [(1000, "one same text of words")] * 300 + [(1001, "x y")] * 7
+    df = docs(spark, rows, lambda i: "a" if i >= 1000 or i % 2 else "b")
+    out = mix(df, fan=16).collect()
+    assert Counter(r.doc_id for r in out) == Counter(i for i, _ in rows)
+    assert all(r.copies <= 2 for r in out)
+    got = Counter()
+    for r in out:
+        got[r.source] += r.taken
+    target = {r.source: r.target for r in out}
+    assert all(abs(got[s] - target[s]) <= 60 for s in target)
+    same = Counter(r.copies for r in out if r.doc_id == 1000)
+    assert max(same) - min(same) <= 1
+    rate = next(r.target / r.source_size for r in out if r.doc_id == 1000)
+    assert abs(sum(k * n for k, n in same.items()) - 300 * rate) < 1 + 1e-9
+    assert sorted((r.doc_id, r.taken) for r in out) == sorted((r.doc_id, r.taken) for r in mix(df, fan=16).collect())
+
+
 def test_word_count_and_empty(spark):
     t = spark.createDataFrame([(None,), ("",), (" \t\n",), ("a\x0bb\x0c c\xa0d ",)], "text string")
     assert [r[0] for r in t.select(word_count(t.text)).collect()] == [0, 0, 0, 3]
