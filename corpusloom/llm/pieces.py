@@ -33,7 +33,7 @@ from .vectext import pieces as slices
 
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-_CACHE = 120_000
+_CACHE = 250_000
 FREE = 1 << 30  # in the place of a piece: whatever comes before, any piece may follow
 
 
