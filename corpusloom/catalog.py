@@ -705,12 +705,13 @@ def request_validation(spark: SparkSession, d: str) -> DataFrame:
     return documents.validated(r).select("conv_id", "turn", "error")
 
 
-@register("""WITH f AS (SELECT source AS doc_id, doc_id AS n, 'd/' || lpad(doc_id::VARCHAR, 8, '0') || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.md' END AS path, regexp_replace(text, '\\n+$', '') AS body, sha256(text) AS sha FROM documents),
+@register("""WITH f AS (SELECT source || '-' || floor(doc_id / 8)::BIGINT AS doc_id, doc_id AS n, 'd/' || lpad(doc_id::VARCHAR, 8, '0') || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.md' END AS path, regexp_replace(text, '\\n+$', '') AS body, sha256(text) AS sha FROM documents),
     p AS (SELECT doc_id, path, '## File: ' || path || chr(10) || '**Lines:** 1-' || len(string_split(body, chr(10))) || chr(10) || '**SHA256:** ' || sha || chr(10) || chr(10) || CASE WHEN n % 2 = 1 THEN body ELSE '```python' || chr(10) || body || chr(10) || '```' END AS part FROM f)
     SELECT doc_id, count(*) AS n_files, sha256('# T' || chr(10) || chr(10) || '**Doc ID:** ' || doc_id || chr(10) || '**Source:** u' || chr(10) || '**Repo:** o/r@c' || chr(10) || chr(10) || string_agg(part, chr(10) || chr(10) ORDER BY path)) AS sha FROM p GROUP BY doc_id""")
 def github_markdown(spark: SparkSession, d: str) -> DataFrame:
     path = F.concat(F.lit("d/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.when(F.col("doc_id") % 2 == 0, ".py").otherwise(".md"))
-    files = _docs(spark, d).select(F.col("source").alias("doc_id"), F.lit("T").alias("title"), F.lit("u").alias("source_url"), F.lit("o/r").alias("repo"), F.lit("c").alias("commit"), path.alias("path"), "text", F.sha2("text", 256).alias("sha256"), F.lit(None).cast("string").alias("artifact_sha256"))
+    repo = F.concat_ws("-", F.col("source"), F.floor(F.col("doc_id") / 8).cast("string"))  # eight files at most
+    files = _docs(spark, d).select(repo.alias("doc_id"), F.lit("T").alias("title"), F.lit("u").alias("source_url"), F.lit("o/r").alias("repo"), F.lit("c").alias("commit"), path.alias("path"), "text", F.sha2("text", 256).alias("sha256"), F.lit(None).cast("string").alias("artifact_sha256"))
     return documents.github_markdown(files).select("doc_id", "n_files", F.sha2("content_md", 256).alias("sha"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +10,21 @@ from . import index, verify
 from .search import ranked
 
 
+def first_rows(fixture: DataFrame, n: int) -> DataFrame:
+    """The mock provider: the first n rows of a fixture by url, numbered, whatever the query."""
+    return ranked(fixture.orderBy("url").limit(n).withColumn("_all", F.lit(0)), None, F.asc("url"), by="_all", name="position").drop("_all")
+
+
+#: Searches by provider name: (fixture or connection table, number of rows) -> (position, title, url, snippet, score).
+PROVIDERS: dict[str, Callable[[DataFrame, int], DataFrame]] = {"mock": first_rows}
+
+
+def provided(provider: str, table: DataFrame, n: int = 5) -> DataFrame:
+    if provider not in PROVIDERS:
+        raise ValueError(f"unknown provider {provider!r}; there are {', '.join(sorted(PROVIDERS))}")
+    return PROVIDERS[provider](table, n)
+
+
 def cache_key(provider: str, query: Column) -> Column:
     return F.sha2(F.concat(F.lit(provider + "|"), F.lower(F.trim(query))), 256)
 

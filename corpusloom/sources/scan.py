@@ -83,6 +83,17 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(64))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
+def written_chunks(spark: SparkSession, path: str, doc_ids: list[str] | None = None) -> DataFrame:
+    """Chunks of write_chunks; of some documents only their buckets are read, and the ids go down to the Parquet scan."""
+    rows = spark.read.parquet(path)
+    if doc_ids is None:
+        return rows.drop("bucket")
+    kind = rows.schema["doc_id"].dataType
+    wanted = spark.createDataFrame([(str(d),) for d in doc_ids], "d string").select(F.pmod(F.xxhash64(F.col("d").cast(kind)), F.lit(64)).alias("b")).distinct()
+    buckets = [r["b"] for r in wanted.collect()]  # 64 at most
+    return rows.where(F.col("bucket").isin(buckets) & F.col("doc_id").isin([*doc_ids])).drop("bucket")
+
+
 def web_results(fixture: DataFrame, n: int, order: str = "url") -> DataFrame:
     """The mock provider: the first n rows of a fixture, whatever the query."""
     return fixture.orderBy(order).limit(n)

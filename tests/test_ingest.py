@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import cli
-from corpusloom.operators import rerank_cache, response, search
-from corpusloom.sources import collections, ingest, store
+from corpusloom.operators import rerank_cache, response, search, web
+from corpusloom.plans import hybrid
+from corpusloom.sources import collections, ingest, scan, store
 from corpusloom.streaming import upsert
 
 META = {"kind": "docs", "seed": {"title": "A page", "url": "http://a/b"}, "source": {"version": "v2"}}
@@ -154,3 +155,30 @@ def test_responses(spark):
     assert [(s.step, s.node, s.latency_ms) for s in r.trace] == [(1, "analyze_intent", 0), (2, "grade_context", 0), (3, "search", 5)] and len(r.trace[2].detail) == 6 + 120 + 4
     assert (r.self_check.passed, r.citation_validation.passed, r.citation_density) == (False, False, 1.0)
     assert got[2].citations == [] and got[2].evidence == [] and got[2].citation_density == 1.0 and got[2].warnings == [] and len(got[2].trace) == 2
+
+
+def test_chunks_of_some_documents(spark, tmp_path):
+    chunks = spark.createDataFrame([(f"d{i}", f"c{i}") for i in range(100)], "doc_id string, chunk_id string")
+    scan.write_chunks(chunks, str(tmp_path / "c"))
+    some = scan.written_chunks(spark, str(tmp_path / "c"), ["d3", "d77", "none"])
+    assert {r.chunk_id for r in some.collect()} == {"c3", "c77"} and scan.written_chunks(spark, str(tmp_path / "c")).count() == 100
+    assert "PartitionFilters: [bucket" in some._jdf.queryExecution().toString() and len(some.inputFiles()) > 0
+
+
+def test_one_side_may_fail(spark):
+    queries = spark.createDataFrame([(1, "q")], "query_id long, text string")
+    fine = lambda q: spark.createDataFrame([(1, 5, 0.9, 1)], "query_id long, chunk_id long, score double, rank int")
+
+    def broken(q):
+        return q.select(F.raise_error(F.lit("down")).cast("long").alias("query_id"), F.lit(1).cast("long").alias("chunk_id"), F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
+
+    hits, warnings = hybrid.retrieve_isolated(queries, broken, fine)
+    assert [(r.chunk_id, r.in_dense, r.in_bm25) for r in hits.collect()] == [(5, False, True)] and len(warnings) == 1 and warnings[0].startswith("dense search failed")
+    assert hybrid.retrieve_isolated(queries, fine, fine)[1] == []
+
+
+def test_providers(spark):
+    pages = spark.createDataFrame([("t2", "http://b", "s", 1.0), ("t1", "http://a", "s", 1.0), ("t3", "http://c", "s", 1.0)], "title string, url string, snippet string, score double")
+    assert [(r.position, r.title) for r in web.provided("mock", pages, 2).orderBy("position").collect()] == [(1, "t1"), (2, "t2")]
+    with pytest.raises(ValueError, match="unknown provider 'other'"):
+        web.provided("other", pages)
