@@ -399,7 +399,7 @@ def json_pick(spark: SparkSession, d: str) -> DataFrame:
 
 @register("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'cpp' WHEN 2 THEN 'markdown' ELSE 'text' END AS language FROM pages")
 def detect_language(spark: SparkSession, d: str) -> DataFrame:
-    name = F.concat(F.lit("dir.x/f"), F.col("page_id").cast("string"), F.element_at(F.array(*[F.lit(x) for x in (".py", ".CU", ".md", ".unknown")]), (F.col("page_id") % 4 + 1).cast("int")))
+    name = F.concat(F.col("url"), F.lit("/f"), F.element_at(F.array(*[F.lit(x) for x in (".py", ".CU", ".md", ".unknown")]), (F.col("page_id") % 4 + 1).cast("int")))
     return _read(spark, d, "pages").select("page_id", T.language(name).alias("language"))
 
 
@@ -681,13 +681,14 @@ def grade_context(spark: SparkSession, d: str) -> DataFrame:
     return agent.grade(_read(spark, d, "benchmark").select(F.col("item_id").alias("request_id")).distinct(), packs).select("request_id", "n", "grade")
 
 
-@register("""SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 'internal' WHEN turn % 4 = 1 THEN 'web' WHEN turn % 4 = 2 THEN 'hybrid' ELSE 'internal' END AS intent,
+@register(r"""SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN 'web' WHEN turn % 4 = 2 THEN 'hybrid' WHEN turn % 4 = 3 THEN 'internal' WHEN regexp_matches(lower(text), '\b(latest|today|news|release date)\b') THEN 'web' WHEN regexp_matches(lower(text), '\b(compare|versus|vs)\b') THEN 'hybrid' ELSE 'internal' END AS intent,
     CASE WHEN turn % 3 = 0 THEN 'synthesize' WHEN conv_id % 4 < 2 THEN 'decompose' WHEN conv_id % 2 = 0 THEN 'web' ELSE 'synthesize' END AS step FROM conversations""")
 def intent_route(spark: SparkSession, d: str) -> DataFrame:
-    said = F.element_at(F.array(F.lit("Internal "), F.lit("WEB"), F.lit("hybrid\t"), F.lit("unsure")), (F.col("turn") % 4 + 1).cast("int"))
+    """The default classifier on the whole texts of every fourth turn, answers of another one on the rest."""
+    said = F.element_at(F.array(agent.classify(F.col("text")), F.lit("WEB"), F.lit("hybrid "), F.lit("unsure")), (F.col("turn") % 4 + 1).cast("int"))
     grade = F.when(F.col("turn") % 3 == 0, "strong").otherwise("weak")
     step = agent.next_step(grade, F.col("conv_id") % 4, F.col("conv_id") % 2 == 0)
-    return _read(spark, d, "conversations").select("conv_id", "turn", agent.intent(F.regexp_replace(said, "\t", " ")).alias("intent"), step.alias("step"))
+    return _read(spark, d, "conversations").select("conv_id", "turn", agent.intent(said).alias("intent"), step.alias("step"))
 
 
 @register("""WITH a AS (SELECT DISTINCT user_id AS request_id, event_type AS chunk_id FROM events WHERE event_id % 3 = 0), b AS (SELECT DISTINCT user_id AS request_id, event_type AS chunk_id FROM events) SELECT * FROM b EXCEPT SELECT * FROM a""")

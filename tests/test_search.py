@@ -107,3 +107,16 @@ def test_hit_mrr_and_movement(spark):
     before = spark.createDataFrame([(1, c, c) for c in range(1, 8)], "query_id long, chunk_id long, final_rank int")
     after = spark.createDataFrame([(1, 7, 1), (1, 1, 2), (1, 3, 3)], "query_id long, chunk_id long, final_rank int")
     assert {x.chunk_id: x.change for x in evaluate.movement(before, after, 3).collect()} == {1: "demoted", 2: "dropped", 3: "same", 7: "rescued"}
+
+
+def test_lsh_recall(spark):
+    """Of the exact neighbours within the distance that the search is for, nearly all are found, with exact scores."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(40, 16))
+    x = np.repeat(centre, 6, axis=0) + rng.normal(size=(240, 16)) * 0.15
+    v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "chunk_id long, embedding array<double>")
+    q = v.where("chunk_id % 6 = 0").withColumnRenamed("chunk_id", "query_id")
+    exact = {(r.query_id, r.chunk_id): r.score for r in search.dense(q, v, 5, threshold=0.5).collect()}
+    found = {(r.query_id, r.chunk_id): r.score for r in search.dense_lsh(q, v, 5).collect()}
+    assert len(exact) >= 190 and len(exact.keys() & found.keys()) >= 0.95 * len(exact)
+    assert all(abs(found[k] - exact[k]) < 1e-9 for k in exact.keys() & found.keys())
