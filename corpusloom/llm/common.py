@@ -94,5 +94,14 @@ def doc_bucket(modulus: int):
 
 
 def row_key():
-    """A hash of doc_id and text: rows equal in both are the same document."""
+    """A hash of doc_id and text; with the doc_id it tells documents apart: rows equal in both are the same one."""
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+#: The columns of identity(), by which rows are grouped and joined.
+IDENTITY = ["key", "id", "no_id"]
+
+
+def identity(key, doc_id) -> list:
+    """A row's key and its doc_id as two columns without nulls, so that plain joins can be on them."""
+    return [key.alias("key"), F.coalesce(doc_id, F.lit(0).cast("long")).alias("id"), doc_id.isNull().alias("no_id")]

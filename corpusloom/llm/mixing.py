@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, saved
+from .common import IDENTITY, identity, row_key, saved
 
 
 def word_count(text: Column) -> Column:
@@ -149,6 +149,8 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float =
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents as the mix takes them: each as many times as it has copies, with all columns."""
-    got = mix(docs, **options).groupBy("key").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
-    keyed = docs.select(row_key().alias("key"), F.struct(*docs.columns).alias("row")).dropDuplicates(["key"])
-    return keyed.join(got, "key").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    got = mix(docs, **options).groupBy(*identity(F.col("key"), F.col("doc_id"))).agg(F.sum("copies").alias("copies")).where("copies > 0")
+    once = docs.select(*identity(row_key(), F.col("doc_id").cast("long")), F.struct(*docs.columns).alias("row")).dropDuplicates(IDENTITY)
+    # very many copies of one row come in parts
+    part = once.join(got, IDENTITY).withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / 10_000))))
+    return part.select("row", F.explode(F.sequence(F.col("part") * 10_000, F.least((F.col("part") + 1) * 10_000, F.col("copies")) - 1))).select("row.*")

@@ -12,7 +12,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, row_key
+from .common import IDENTITY, identity, read, row_key
 from .linededup import line_decided
 from .minhash import near_groups
 from .mixing import mixed_documents
@@ -46,9 +46,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows with a null doc_id go if a row of their group has one.
     """
-    drop = near_groups(docs).where("not kept").select(F.col("key").alias("at"), F.col("doc_id").alias("at_id")).distinct()
-    once = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("row")).dropDuplicates(["key", "id"])
-    return once.join(drop, (F.col("key") == F.col("at")) & F.col("id").eqNullSafe(F.col("at_id")), "left_anti").select("row.*")
+    drop = near_groups(docs).where("not kept").select(*identity(F.col("key"), F.col("doc_id"))).distinct()
+    once = docs.select(*identity(row_key(), F.col("doc_id").cast("long")), F.struct(*docs.columns).alias("row")).dropDuplicates(IDENTITY)
+    return once.join(drop, IDENTITY, "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
