@@ -53,7 +53,7 @@ class _Words(dict):
         got = self.old.get(word)
         if got is None:
             if len(word) > 1 and (word[-2], word[-1]) not in self.codec.beside:  # no piece has these two side by side
-                got = self[word[:-1]] + self.codec.ids(self.codec.path(word[-1]))
+                got = self[word[:-1]] + self.codec.bare[word[-1]]
             else:
                 got = self.codec.ids(self.codec.path(self.prefix + word))
         if len(self) >= _CACHE:
