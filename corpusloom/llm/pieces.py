@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, ship
+from .vectext import U
 from .vectext import pieces as slices
 
 SPACE = "▁"
@@ -49,6 +50,17 @@ class _Words(dict):
         super().__init__()
         self.codec, self.prefix, self.old = codec, prefix, {}
 
+    def learn(self, words: set[str]) -> None:
+        """Compute what is not known of some words, all at once."""
+        old = self.old
+        new = [w for w in words if w not in self and w not in old and len(w) < _LONG_WORD]
+        if len(new) < 200:  # not worth it
+            return
+        if len(self) + len(new) > _CACHE:
+            self.old = dict(self)
+            self.clear()
+        self.update(zip(new, self.codec.table.ids([self.prefix + w for w in new]), strict=True))
+
     def __missing__(self, word: str) -> bytes:
         got = self.old.get(word)
         if got is None:
@@ -63,6 +75,128 @@ class _Words(dict):
         return got
 
 
+_LONG_WORD = 48
+_TIMES = 0x9E3779B97F4A7C15
+
+
+class _Hashed:
+    """Open addressing from 64-bit keys (none is 0) to int32; -2 for a key that is not there."""
+
+    def __init__(self, bits: int):
+        self.shift, self.mask = U(64 - bits), (1 << bits) - 1
+        self.clear()
+
+    def clear(self) -> None:
+        self.key, self.value, self.n = np.zeros(self.mask + 1, U), np.zeros(self.mask + 1, np.int32), 0
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * U(0xD6E8FEB86659FD93)) >> self.shift).astype(np.int64)
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add distinct keys that are not there."""
+        self.n += len(keys)
+        h = self._slot(keys)
+        while len(keys):
+            free = self.key[h] == 0
+            self.key[h[free]] = keys[free]
+            mine = self.key[h] == keys
+            self.value[h[mine]] = values[mine]
+            keys, values, h = keys[~mine], values[~mine], (h[~mine] + 1) & self.mask
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        h = self._slot(keys)
+        there = self.key[h]
+        out = np.where(there == keys, self.value[h], -2).astype(np.int32)
+        wait = np.flatnonzero((there != keys) & (there != 0))
+        h = h[wait]
+        while len(wait):
+            h = (h + 1) & self.mask
+            there = self.key[h]
+            hit = there == keys[wait]
+            out[wait[hit]] = self.value[h[hit]]
+            go = ~hit & (there != 0)
+            wait, h = wait[go], h[go]
+        return out
+
+
+class _Paths:
+    """Codec.path for many words at once: the last piece of every prefix, prefix length by prefix length.
+
+    A substring is looked up by a 64-bit polynomial hash of its characters, and its length has to be the piece's.
+    """
+
+    def __init__(self, codec: Codec):
+        self.codec = codec
+        self.power = np.array([pow(_TIMES, i, 1 << 64) for i in range(codec.longest + 1)], U)
+        self.sizes = np.array([len(t) for t in codec.text])
+        hashes = [functools.reduce(lambda h, ch: (h * _TIMES + ord(ch) + 1) % (1 << 64), t, 0) for t in codec.id]
+        self.piece = _Hashed(18)
+        self.piece.put(np.array(hashes, U), np.array(list(codec.id.values()), np.int32))
+        self.fits = _Hashed(21)
+        self.solo = np.full(codec.size, -1, np.int8)
+
+    def _fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        shift = 1 << 21  # tokens below 0 are characters
+        key = ((a.astype(np.int64) + shift).astype(U) << U(32)) | (b.astype(np.int64) + shift).astype(U)
+        got = self.fits.get(key)
+        new = np.flatnonzero(got == -2)
+        if len(new):
+            pairs, at = np.unique(key[new], return_inverse=True)
+            values = np.array([self.codec.fit((k >> 32) - shift, (k & 0xFFFFFFFF) - shift) for k in pairs.tolist()], np.int32)
+            if 2 * (self.fits.n + len(pairs)) > self.fits.mask:
+                self.fits.clear()
+            self.fits.put(pairs, values)
+            got[new] = values[at]
+        return got.astype(bool)
+
+    def _alone(self, t: np.ndarray) -> np.ndarray:
+        for k in np.unique(t[self.solo[t] < 0]).tolist():
+            self.solo[k] = self.codec.solo(k)
+        return self.solo[t].astype(bool)
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """Ids of each of some words, none empty."""
+        n = np.array([len(w) for w in words])
+        order = np.argsort(-n, kind="stable")
+        n = n[order]
+        chars = np.frombuffer("".join([words[i] for i in order]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        start, most = np.cumsum(n) - n, int(n[0])
+        hashed, last, size_of = np.zeros((most + 1, len(n)), U), np.zeros((most + 1, len(n)), np.int32), np.zeros((most + 1, len(n)), np.int16)
+        for i in range(1, most + 1):
+            m = int(np.searchsorted(-n, -i, side="right"))  # the words of i characters and more
+            ch = chars[start[:m] + i - 1]
+            hashed[i, :m] = hashed[i - 1, :m] * U(_TIMES) + (ch + 1).astype(U)
+            left = np.arange(m)
+            for size in range(min(self.codec.longest, i), 0, -1):
+                j = i - size
+                t = self.piece.get(hashed[i, left] - hashed[j, left] * self.power[size])
+                t = np.where((t >= 0) & (self.sizes[t] == size), t, -2)
+                if size == 1:  # what no longer piece ends is ended by its last character
+                    ok, t = np.arange(len(left)), np.where(t < 0, -1 - ch[left], t)
+                else:
+                    some = np.flatnonzero(t >= 0)
+                    ok = some[self._alone(t[some]) if j == 0 else self._fit(last[j, left[some]], t[some])] if len(some) else some
+                last[i, left[ok]], size_of[i, left[ok]] = t[ok], size
+                left = np.delete(left, ok)
+                if not len(left):
+                    break
+        at, word, tokens, owners = n.copy(), np.arange(len(n)), [], []
+        while len(word):
+            tokens.append(last[at[word], word])
+            owners.append(word)
+            at[word] -= size_of[at[word], word]
+            word = word[at[word] > 0]
+        token, owner = np.concatenate(tokens)[::-1], np.concatenate(owners)[::-1]
+        k = np.argsort(owner, kind="stable")
+        token, owner = token[k], owner[k]
+        cut = np.searchsorted(owner, np.arange(len(n) + 1))
+        raw, odd = token.astype(np.int32).tobytes(), np.minimum.reduceat(token, cut[:-1]) < 0
+        out: list[bytes] = [b""] * len(n)
+        for r, i in enumerate(order.tolist()):
+            out[i] = self.codec.ids(token[cut[r] : cut[r + 1]].tolist()) if odd[r] else raw[4 * cut[r] : 4 * cut[r + 1]]
+        return out
+
+
 class Codec:
     """Pieces of a model, the test whether two fit, and encoding of whole units."""
 
@@ -91,6 +225,7 @@ class Codec:
         self.length = np.array([len(r) for r in raw])
         self.begin = np.append(0, np.cumsum(self.length))[:-1]
         self.bytes = np.frombuffer(b"".join(raw), np.uint8)
+        self.table = _Paths(self)
 
     def token(self, s: str) -> int | None:
         """Id of a piece; -1 - code point for a single character that is none."""
@@ -178,6 +313,21 @@ class Codec:
         """Ids of text whose spaces are already U+2581; no piece has U+2581 after another character."""
         return b"".join([self.ids(self.path(u)) for line in (re.split("(\n)", s) if self.lines else [s]) for u in _UNIT.findall(line)])
 
+    def learn(self, texts: list[str]) -> None:
+        """Get the words of some texts into the caches at once; encode() then finds them there."""
+        spaced: set[str] = set()
+        bare: set[str] = set()
+        for text in texts:
+            if text and self.lines and SPACE not in text:
+                for k, line in enumerate(text.split("\n")):
+                    words = line.split(" ")
+                    if k:
+                        bare.add(words[0])
+                        del words[0]
+                    spaced.update(words)
+        self.bare.learn(bare - {""})
+        self.spaced.learn(spaced - {""})
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as int32."""
         if not text:
@@ -336,6 +486,7 @@ def _short(model: bytes):
         codec = _codec(model)
         for part, _, _ in slices(batches):
             texts = [t or "" for t in part.column(1).to_pylist()]
+            codec.learn(texts)
             ids = [codec.encode(t) for t in texts]
             n, sha, same = zip(*[_digest(codec, t, i) for t, i in zip(texts, ids, strict=True)], strict=True)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sha), pa.array(same), _lists(ids)], ["doc_id", "n_tokens", "ids_sha256", "round_trip", "ids"])

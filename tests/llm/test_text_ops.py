@@ -256,6 +256,18 @@ def test_encoding_is_the_librarys(sp, codec):
         assert codec.decode(np.array(sp.encode(t), np.int32)).decode("utf-8", "replace") == sp.decode(sp.encode(t))
 
 
+def test_words_learnt_at_once_are_the_librarys(sp, codec):
+    rng = random.Random(3)
+    letters = ["a", "e", "th", "ing", "é", "日", "😀", "0", ",", ".", "tion", "Th", "\x00", "ß", "qu", "zx"]
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(1500)] + ["x" * 47, "tion" * 30, "a"]
+    for some in (words, words[::-1]):
+        assert codec.table.ids([SPACE + w for w in some]) == [ids_of(sp, w) for w in some]
+    fresh = type(codec)(open(VOCABULARY, "rb").read())
+    lines = ["\n".join(" ".join(words[k : k + 9]) for k in range(a, a + 90, 9)) for a in range(0, 1500, 90)]
+    fresh.learn(lines)
+    assert len(fresh.spaced) > 1000 and [fresh.encode(t) for t in lines] == [ids_of(sp, t) for t in lines]
+
+
 def test_chunks_of_any_size_give_the_same(sp, codec):
     for k, t in enumerate(x for x in texts(200, 9) if x):
         n = (1, 2, 3, 7, 16, 33)[k % 6]
