@@ -11,7 +11,8 @@ lines of more than `pair_tokens` tokens: in two) goes from all but the document
 The texts are parsed twice and never shuffled for it: the first pass counts leaves, a Bloom filter of fixed size
 (`filter_bits`) over the busy ones goes with the second pass, which gives hashes of the lines that may matter; an exact join
 takes off what the filter lets through by chance, so a filter too small for the corpus costs shuffle and no result. Counts
-are sums of pre-aggregated rows. Only the distinct lines of a leaf pass through one task, which holds the template starts.
+are sums of pre-aggregated rows. Only the distinct lines of a leaf pass through one task, one by one; it holds the lines that
+started a template, and finds those that may fit by bands of places, so that its work grows with the lines, not their pairs.
 The texts move once, to the lines to drop, by the same sort-merge join at every size.
 
 Cases: a null text stays null and has no lines; an empty text has one empty line; lines of fewer than `min_tokens` tokens
@@ -151,32 +152,73 @@ def _hot(filter_: np.ndarray, log_bits: int, depth: int, percent: int, min_token
     return run
 
 
-def _matcher(percent: int):
+class Leaf:
+    """The templates of one leaf, in the order in which lines started them.
+
+    Two lines of n places that are equal in `need` of them differ in n - need at most. The first `depth` places are alike in
+    the whole leaf; so of n - need + 1 bands of the other places (less for masked leading ones) one is equal in both. Once
+    there are many templates, a line is held only against those that share a band with it.
+    """
+
+    def __init__(self, row: np.ndarray, percent: int, depth: int, few: int):
+        self.rows, self.ids, self.n = np.empty((4, len(row)), np.int64), [], 0
+        self.need, self.few = -(-percent * len(row) // 100), few
+        bands = len(row) - self.need - int((row[:depth] == 0).sum()) + 1
+        rest = len(row) - min(depth, len(row))
+        self.cuts = np.linspace(min(depth, len(row)), len(row), bands + 1).astype(int) if 0 < bands <= rest else None
+        self.index: dict[tuple[int, bytes], list[int]] | None = None
+
+    def _bands(self, row: np.ndarray) -> list[tuple[int, bytes]]:
+        return [(k, row[a:b].tobytes()) for k, (a, b) in enumerate(zip(self.cuts, self.cuts[1:], strict=False)) if (row[a:b] != 0).all()]
+
+    def find(self, row: np.ndarray) -> int | None:
+        """The id of the template that the line is equal to in most places, the earliest of several, if those are enough."""
+        if self.index is None:
+            at = np.arange(self.n)
+        else:
+            at = np.array(sorted({i for band in self._bands(row) for i in self.index.get(band, ())}), np.int64)
+        if not len(at):
+            return None
+        same = ((self.rows[at] == row) & (row != 0)).sum(axis=1)
+        best = int(same.argmax())
+        return self.ids[at[best]] if same[best] >= self.need else None
+
+    def start(self, row: np.ndarray, h: int) -> None:
+        if self.n == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        self.rows[self.n] = row
+        self.ids.append(h)
+        if self.index is None and self.n >= self.few and self.cuts is not None:
+            self.index = {}
+            for i in range(self.n):
+                self._add(i)
+        self.n += 1
+        if self.index is not None:
+            self._add(self.n - 1)
+
+    def _add(self, i: int) -> None:
+        for band in self._bands(self.rows[i]):
+            self.index.setdefault(band, []).append(i)  # type: ignore[union-attr]
+
+
+def _matcher(percent: int, depth: int, few: int = 64):
     """(leaf, h, codes), sorted by leaf and with its commonest lines first -> (leaf, h, template): the h of the line that
     started the template. Only the starting lines of one leaf are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, starts, ids, n = None, np.empty((0, 0), np.int64), [], 0
+        leaf, now = None, None
         for t in batches:
             leaves, hs = t.column(0).to_pylist(), t.column(1).to_pylist()
             codes, at = t.column(2).flatten().to_numpy(), t.column(2).offsets.to_numpy()
             at, out = at - at[0], []
-            for i, (now, h) in enumerate(zip(leaves, hs, strict=True)):
+            for i, (key, h) in enumerate(zip(leaves, hs, strict=True)):
                 row = codes[at[i] : at[i + 1]]
-                if now != leaf:
-                    leaf, starts, ids, n = now, np.empty((4, len(row)), np.int64), [], 0
-                if n:
-                    same = ((starts[:n] == row) & (row != 0)).sum(axis=1)
-                    best = int(same.argmax())
-                    if 100 * same[best] >= len(row) * percent:
-                        out.append(ids[best])
-                        continue
-                if n == len(starts):
-                    starts = np.concatenate([starts, np.empty_like(starts)])
-                starts[n] = row
-                ids.append(h)
-                n += 1
-                out.append(h)
+                if key != leaf or now is None:
+                    leaf, now = key, Leaf(row, percent, depth, few)
+                found = now.find(row)
+                if found is None:
+                    now.start(row, h)
+                out.append(h if found is None else found)
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(out, pa.int64())], ["leaf", "h", "template"])
 
     return run
@@ -199,7 +241,7 @@ def line_decisions(docs: DataFrame, *, depth: int, percent: int, min_docs: int,
     kinds = in_docs.groupBy("leaf", "h").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no")).alias("at"))
     kinds = kinds.join(hot.where("codes is not null").groupBy("leaf", "h").agg(F.min("codes").alias("codes")), ["leaf", "h"])
     kinds = kinds.repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "at", "h").select("leaf", "h", "codes")
-    forms = saved(kinds.mapInArrow(_matcher(percent), "leaf long, h long, template long"), "forms")
+    forms = saved(kinds.mapInArrow(_matcher(percent, depth), "leaf long, h long, template long"), "forms")
     of = saved(hot.select("key", "doc_id", "line_no", "exact", "long", "leaf", "h").join(forms, ["leaf", "h"], "left").drop("h"), "of-template")
 
     def recurring(*by: str) -> DataFrame:

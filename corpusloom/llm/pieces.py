@@ -34,7 +34,7 @@ from .vectext import pieces as slices
 
 SPACE = "▁"
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-_CACHE = 250_000
+_CACHE = 150_000
 FREE = 1 << 30  # in the place of a piece: whatever comes before, any piece may follow
 
 
@@ -59,7 +59,10 @@ class _Words(dict):
         if len(self) + len(new) > _CACHE:
             self.old = dict(self)
             self.clear()
-        self.update(zip(new, self.codec.table.ids([self.prefix + w for w in new]), strict=True))
+        new.sort(key=len)
+        for a in range(0, len(new), 8192):
+            some = new[a : a + 8192]
+            self.update(zip(some, self.codec.table.ids([self.prefix + w for w in some]), strict=True))
 
     def __missing__(self, word: str) -> bytes:
         got = self.old.get(word)
@@ -142,7 +145,7 @@ class _Paths:
         new = np.flatnonzero(got == -2)
         if len(new):
             pairs, at = np.unique(key[new], return_inverse=True)
-            values = np.array([self.codec.fit((k >> 32) - shift, (k & 0xFFFFFFFF) - shift) for k in pairs.tolist()], np.int32)
+            values = np.array([self.codec.tried((k >> 32) - shift, (k & 0xFFFFFFFF) - shift) for k in pairs.tolist()], np.int32)
             if 2 * (self.fits.n + len(pairs)) > self.fits.mask:
                 self.fits.clear()
             self.fits.put(pairs, values)
@@ -248,13 +251,17 @@ class Codec:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def tried(self, a: int, b: int) -> bool:
+        """Whether two tokens are what the merges make of the two together."""
+        x, y = self.string(a), self.string(b)
+        return self.merged(x + y) == [x, y]
+
     def fit(self, a: int, b: int) -> bool:
         ok = self.fits.get((a, b))
         if ok is None:
-            if len(self.fits) > 3 * _CACHE:
+            if len(self.fits) > _CACHE:
                 self.fits.clear()
-            x, y = self.string(a), self.string(b)
-            ok = self.fits[a, b] = self.merged(x + y) == [x, y]
+            ok = self.fits[a, b] = self.tried(a, b)
         return ok
 
     def solo(self, a: int) -> bool:
@@ -267,7 +274,7 @@ class Codec:
         """The tokens of s, by the only last token that each prefix can have; prefixes of short units are remembered."""
         n, get, fits = len(s), self.id.get, self.fits
         known = self.prefixes if n <= 48 else {}
-        if len(known) > 2 * _CACHE:
+        if len(known) > _CACHE // 2:
             known.clear()
         done = n
         while done and s[:done] not in known:

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import ctw, stages, toxicity
+from corpusloom.llm import ctw, linededup, stages, toxicity
 from corpusloom.llm.ctw import ctw_score
 from corpusloom.llm.htmltext import html_text, text_of
 from corpusloom.llm.linededup import line_dedup
@@ -122,6 +122,22 @@ def test_line_dedup_equals_brute_force(spark, filter_bits):
     assert len(gone) > 100
 
 
+@pytest.mark.parametrize("percent", [50, 70, 100])
+def test_leaf_bands_find_what_a_scan_finds(percent):
+    """Templates by bands against a scan of all, for lines of all lengths, with masked places."""
+    rng = np.random.default_rng(percent)
+    for n in (1, 3, 4, 5, 6, 8, 12, 25, 60):
+        lead = rng.integers(0 if n > 4 else 1, 4, min(4, n))
+        rows = [np.concatenate((lead, rng.integers(0, 4, n - len(lead)))).astype(np.int64) for _ in range(150)]
+        rows += [np.where((rng.random(n) < 0.2) & (np.arange(n) >= 4), 0, r) for r in rows]
+        scan, bands = (linededup.Leaf(rows[0], percent, 4, few) for few in (1 << 30, 0))
+        for h, row in enumerate(rows):
+            want = scan.find(row)
+            assert bands.find(row) == want
+            if want is None:
+                scan.start(row, h), bands.start(row, h)
+
+
 def test_lines_of_long_texts_and_clashing_names(spark):
     many = "\n".join(f"line {chr(97 + i % 26)}{chr(97 + i // 26 % 26)} of all {'x' * (i % 50)}" for i in range(60_000))
     assert len(many) > 2 << 20
