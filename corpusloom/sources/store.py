@@ -84,3 +84,11 @@ def kept_tables(spark: SparkSession, source: str, kind: str, build: Callable[[Ca
         build(write)
         _kept[key] = paths
     return {name: spark.read.parquet(path) for name, path in _kept[key].items()}
+
+
+def drop_kept(spark: SparkSession) -> int:
+    """Delete all kept tables of this application; how many sets of tables there were."""
+    mine = [k for k in _kept if k[0] == spark.sparkContext.applicationId]
+    for k in mine:
+        delete(spark, next(iter(_kept.pop(k).values())).rsplit("/", 1)[0])
+    return len(mine)

@@ -182,3 +182,16 @@ def test_providers(spark):
     assert [(r.position, r.title) for r in web.provided("mock", pages, 2).orderBy("position").collect()] == [(1, "t1"), (2, "t2")]
     with pytest.raises(ValueError, match="unknown provider 'other'"):
         web.provided("other", pages)
+
+
+def test_kept_tables(spark, tmp_path):
+    src, built = str(tmp_path / "src"), []
+    spark.range(3).write.parquet(src)
+
+    def build(write):
+        built.append(write("t", spark.read.parquet(src)).count())
+
+    tables = [store.kept_tables(spark, src, "some", build)["t"].count() for _ in range(2)]
+    spark.range(2).write.mode("append").parquet(src)  # another source gives other tables
+    assert store.kept_tables(spark, src, "some", build)["t"].count() == 5 and tables == [3, 3] and built == [3, 5]
+    assert store.drop_kept(spark) >= 2 and store.kept_tables(spark, src, "some", build)["t"].count() == 5 and built == [3, 5, 5]
