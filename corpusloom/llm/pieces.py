@@ -568,6 +568,7 @@ def _tracer(model: bytes):
         codec = _codec(model)
         for t in batches:
             d = t.to_pydict()
+            codec.spaced.learn({w for c in d["chunk"] for w in c.split(SPACE) if w and "\n" not in w})
             ids = [traced(codec, d["context"][k], d["chunk"][k], (d["in_back"][k], d["in_piece"][k]), (d["out_back"][k], d["out_piece"][k])) for k in range(t.num_rows)]
             yield pa.RecordBatch.from_arrays([t.column("row"), t.column("doc_id"), t.column("idx"), t.column("chunk"), pa.array(ids, pa.binary())], ["row", "doc_id", "idx", "chunk", "ids"])
 
