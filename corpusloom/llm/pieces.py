@@ -601,9 +601,10 @@ def encode(docs: DataFrame, model_path: str, *, chunk: int = 32_768, fan: int =
     giant = F.coalesce(F.length("text"), F.lit(0)) > chunk
     short = docs.where(~giant).mapInArrow(_short(model), schema)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = saved(docs.where(giant).mapInArrow(_cutter(chunk, back), "row long, doc_id long, idx int, context string, chunk string, after string"), "chunks")
+    few = max(1, parts // 4)  # giant texts are few: not a small file for every partition of the documents
+    chunks = saved(docs.where(giant).mapInArrow(_cutter(chunk, back), "row long, doc_id long, idx int, context string, chunk string, after string").repartition(few), "chunks")
     matrices = chunks.repartition(parts, "row", "idx").mapInArrow(_matrices(model), "row long, idx int, matrix binary")
-    matrices = saved(matrices.withColumn("block", F.floor(F.col("idx") / fan).cast("int")), "matrices")
+    matrices = saved(matrices.withColumn("block", F.floor(F.col("idx") / fan).cast("int")).repartition(few), "matrices")
     products = matrices.groupBy("row", "block").applyInArrow(_product, "row long, block int, matrix binary")
     states = "in_back int, in_piece int, out_back int, out_piece int"
     ends = products.groupBy("row").applyInArrow(_scan, f"row long, block int, {states}")
