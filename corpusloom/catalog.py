@@ -41,6 +41,11 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "documents")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """The documents for heavy work on their texts: dealt out where the file has fewer row groups than there are cores."""
+    return store.spread(_docs(spark, d).select("doc_id", "text"))
+
+
 def _queries(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(T.terms(F.col("text")), " ").alias("text"))
 
@@ -368,12 +373,12 @@ _DIRTY_SQL = "(text || chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || ch
     SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(t, '[ \\t\\r\\f\\v]+(\\n|$)', '\\1', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS sha FROM b""")
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
     dirty = F.concat("text", F.lit("\r\n\r\n\r\nexam-\n  ple ​end­of ﬁle \t\n\n"))
-    return _docs(spark, d).select("doc_id", F.sha2(T.normalized(dirty), 256).alias("sha"))
+    return _texts(spark, d).select("doc_id", F.sha2(T.normalized(dirty), 256).alias("sha"))
 
 
 @register("SELECT doc_id, regexp_replace(text || '-' || chr(10) || '  ' || text, '([0-9A-Za-z])-\\n[ \\t]*([0-9A-Za-z])', '\\1\\2', 'g') AS text FROM documents")
 def dehyphenate(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", T.dehyphenated(F.concat("text", F.lit("-\n  "), "text")).alias("text"))
+    return _texts(spark, d).select("doc_id", T.dehyphenated(F.concat("text", F.lit("-\n  "), "text")).alias("text"))
 
 
 @register("SELECT doc_id, length(regexp_replace(text, '\\s+', '', 'g'))::INT AS non_ws, length(text)::INT AS chars FROM documents")
@@ -536,7 +541,7 @@ _WEATHER = "(regexp_matches(q, '(?i)\\b(weather|forecast|temperature)\\b') AND N
 
 @register(f"SELECT id AS doc_id, CASE WHEN trim(q) = '' THEN 'out_of_domain' WHEN {_no_look(fixed.INJECTION)} OR {_ACT} THEN 'injection' WHEN {_no_look(fixed.IN_DOMAIN)} THEN 'ok' WHEN {_no_look(fixed.OFF_DOMAIN)} OR {_WEATHER} THEN 'out_of_domain' ELSE 'ok' END AS outcome FROM {_sampled('documents', 'doc_id')}")
 def policy_gate(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", verify.gate(_sample("doc_id")).alias("outcome"))
+    return _texts(spark, d).select("doc_id", verify.gate(_sample("doc_id")).alias("outcome"))
 
 
 def _strip_sql(expr: str) -> str:
@@ -550,7 +555,7 @@ def _strip_sql(expr: str) -> str:
     SELECT id AS doc_id, CASE WHEN length(c) > 200 THEN regexp_replace(left(c, 200), '(?s) [^ ]*$', '') ELSE c END AS query FROM e""")
 def sanitize_query(spark: SparkSession, d: str) -> DataFrame:
     q = _sample("doc_id")
-    return _docs(spark, d).select("doc_id", verify.sanitize_query(q).alias("query"))
+    return _texts(spark, d).select("doc_id", verify.sanitize_query(q).alias("query"))
 
 
 _any_sql = lambda patterns, x: " OR ".join(f"regexp_matches({x}, '(?i){p}')" if "(?!" not in p else f"(regexp_matches({x}, '(?i)act\\s+as\\s+') AND NOT regexp_matches({x}, '(?i)act\\s+as\\sa\\s+research'))" for p in patterns)
@@ -566,7 +571,7 @@ _SPLIT = "string_split(regexp_replace({0}, '([.!?])\\s+', '\\1' || chr(1), 'g'),
 def web_sanitize(spark: SparkSession, d: str) -> DataFrame:
     q = _sample("doc_id")
     t = F.concat(F.lit('<p class="x">'), q, F.lit(". A plain sentence about the topic at hand.</p><script>x()</script>&nbsp;Read our privacy policy! "), q, F.lit("."))
-    return _docs(spark, d).select("doc_id", verify.clean_snippet(t).alias("snippet"))
+    return _texts(spark, d).select("doc_id", verify.clean_snippet(t).alias("snippet"))
 
 
 _NETLOC = "regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '^www\\.', '')"
