@@ -106,6 +106,16 @@ ORACLE: dict[str, str] = {
         f AS (SELECT html, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY html)
         SELECT page_id, n AS payload_bytes, sha256(p.html) AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN first <> page_id THEN first END AS refers_to, true AS intact FROM p LEFT JOIN f ON p.html = f.html AND n >= 100""",
+    "op6_minhash": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [len(w) || ' ' || array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle FROM w),
+        z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * p.n >= 75 * (x.n + y.n - p.n)),
+        r(n, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.a, r.root FROM r JOIN l ON l.b = r.n),
+        c AS (SELECT n AS doc_id, min(root) AS component_id FROM r GROUP BY n)
+        SELECT c.doc_id, coalesce(z.n, 0) AS n_shingles, component_id, component_id = c.doc_id AS kept FROM c LEFT JOIN z USING (doc_id)""",
     "op7_embeddings": """
         WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
         l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
