@@ -452,6 +452,20 @@ def boundary_states(matrices: list[list], first: tuple[int, int] = (0, FREE), la
     return [next(iter(x)) for x in both]
 
 
+def _whole_words(c: Codec, s: str) -> bytes:
+    """Ids of text that begins with U+2581, has no two in a row and none at a line's end."""
+    out = []
+    for k, line in enumerate(s.split("\n")):
+        words = line.split(SPACE)
+        first = words.pop(0)
+        if k:
+            out.append(c.newline)
+            if first:
+                out.append(c.bare[first])
+        out.extend(map(c.spaced.__getitem__, words))
+    return b"".join(out)
+
+
 def traced(c: Codec, context: str, chunk: str, entry: tuple[int, int], leave: tuple[int, int]) -> bytes:
     """Ids of the pieces after the entry state's up to the leaving state's."""
     s, low = context + chunk, len(context)
@@ -460,17 +474,16 @@ def traced(c: Codec, context: str, chunk: str, entry: tuple[int, int], leave: tu
     known = 0 if entry[1] == FREE else len(c.string(entry[1]))
     if end <= begin:
         return b""
-    out, at = [], begin - known
-    cuts = [i for i in range(max(begin, 1), end) if s[i] == SPACE != s[i - 1]]
-    for k, stop in enumerate([*cuts, end]):
-        part = s[at:stop]
-        if k == 0 and known:
-            out.append(c.ids(c.path(part)[1:]))
-        elif part[:1] == SPACE and len(part) > 1 and part[1] != SPACE and "\n" not in part:
-            out.append(c.spaced[part[1:]])
-        else:
-            out.append(c.ids(c.path(part)))
-        at = stop
+    cut = max(begin, 1)  # the first place that no piece crosses
+    while cut < end and not s[cut] == SPACE != s[cut - 1]:
+        cut += 1
+    head, rest = s[begin - known : cut], s[cut:end]
+    out = [c.ids(c.path(head)[1:] if known else c.path(head))]
+    if rest and c.lines and SPACE + SPACE not in rest and SPACE + "\n" not in rest and rest[-1] != SPACE:
+        out.append(_whole_words(c, rest))
+    else:
+        places = [i for i in range(1, len(rest)) if rest[i] == SPACE != rest[i - 1]]
+        out += [c.ids(c.path(rest[i:j])) for i, j in zip([0, *places], [*places, len(rest)], strict=True) if i < j]
     return b"".join(out)
 
 
@@ -568,7 +581,14 @@ def _tracer(model: bytes):
         codec = _codec(model)
         for t in batches:
             d = t.to_pydict()
-            codec.spaced.learn({w for c in d["chunk"] for w in c.split(SPACE) if w and "\n" not in w})
+            spaced: set[str] = set()
+            bare: set[str] = set()
+            for line in (x for c in d["chunk"] for x in c.split("\n")):
+                words = line.split(SPACE)
+                bare.add(words.pop(0))
+                spaced.update(words)
+            codec.bare.learn(bare - {""})
+            codec.spaced.learn(spaced - {""})
             ids = [traced(codec, d["context"][k], d["chunk"][k], (d["in_back"][k], d["in_piece"][k]), (d["out_back"][k], d["out_piece"][k])) for k in range(t.num_rows)]
             yield pa.RecordBatch.from_arrays([t.column("row"), t.column("doc_id"), t.column("idx"), t.column("chunk"), pa.array(ids, pa.binary())], ["row", "doc_id", "idx", "chunk", "ids"])
 
